@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import table
 
 
+def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_tiff(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.tiff import digest_pages, read_pages, store_texts
+
+    return digest_pages(read_pages(store_texts(table(spark, sf_dir, "documents"))))
+
+
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from loomspark.llm.simhash import near_duplicates
 
