@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -60,3 +61,14 @@ def map_text(df: DataFrame, function: Callable, schema: str, *columns: str, most
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the planner takes the input to hold, from the sizes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of steps whose results are checkpointed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -41,6 +41,12 @@ def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
