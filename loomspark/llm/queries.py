@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     from loomspark.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8, recall=0.99)
+
+
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     from loomspark.llm.secrets import find_secrets
 
