@@ -14,6 +14,12 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark, sf_dir: str) -> DataFrame:
+    from loomspark.llm.pii import find, report
+
+    return report(find(table(spark, sf_dir, "documents")))
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     from loomspark.llm.mixing import mix
 
