@@ -72,3 +72,14 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of steps whose results are checkpointed."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def keep_rows(docs: DataFrame, test: Callable[[list], list[bool]], most: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose texts pass ``test``; one map stage."""
+
+    def run(batches):
+        for piece in pieces(batches, "text", most):
+            texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
+            yield piece.filter(pa.array(test(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomspark.llm.common import pieces
+from loomspark.llm.common import keep_rows, pieces
 
 WORD = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, distance int, similarity double, start long, end long"
@@ -257,16 +257,36 @@ def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """(doc_id, item_id, distance, similarity, start, end): contaminated documents only, each with each of its items once."""
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame):
+    """Broadcast blocks of items, each of about BLOCK characters."""
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = size // BLOCK + 1
-    arrow = to_arrow_schema(StructType.fromDDL(LEAK))
-    out = None
     for b in range(blocks):
         some = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").collect()
-        block = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some])  # BLOCK characters on average
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in some])
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """The rows of ``docs`` without any item, with all their columns."""
+    for block in item_blocks(benchmark):
+        state: dict[str, Items] = {}
+
+        def test(texts, block=block, state=state):
+            if "items" not in state:
+                state["items"] = Items(block.value, similarity, recall)
+            items = state["items"]
+            leaking = {i for i, *_ in scan(items, [t or "" for t in texts])} if items.ids else set()
+            return [i not in leaking for i in range(len(texts))]
+
+        docs = keep_rows(docs, test, most=8 << 20)
+    return docs
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """(doc_id, item_id, distance, similarity, start, end): contaminated documents only, each with each of its items once."""
+    arrow = to_arrow_schema(StructType.fromDDL(LEAK))
+    out = None
+    for block in item_blocks(benchmark):
 
         def run(batches, block=block):
             items = Items(block.value, similarity, recall)

@@ -1,6 +1,8 @@
 """SimHash near-duplicates by tiled exact comparison of fingerprints.
 
-Fingerprints come from three-word shingles (any width may be asked for).
+Fingerprints come from three-word shingles (any width may be asked for); the
+pipeline takes four words of bits over five-word shingles, whose distance
+tells a similarity of 0.8, and compares strips of text length.
 Documents with the same fingerprint are one class at once (``groupBy`` with a
 map-side minimum), so a group of copies of any size is a single fingerprint
 afterwards.  The distinct fingerprints are laid into *strips* by population
@@ -23,12 +25,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import cut_lineage, map_text
@@ -40,10 +43,17 @@ TILE, AT_ONCE = 256, 16
 FIRST = np.uint64(0xFFFF)
 
 
-def fingerprint_bits(hashes: np.ndarray) -> int:
+def stirred(h: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for a further word of a fingerprint; word 0 takes them as they are."""
+    if not word:
+        return h
+    h = (h + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray) -> int:
     """Majority of each bit over the shingle hashes; a tie is 0."""
-    if not len(hashes):
-        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         part = hashes[i : i + 8192]
@@ -51,27 +61,46 @@ def fingerprint_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     buffer = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(buffer, 42) if len(words) else 0
+        return np.array([digest(buffer, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.r_[0, ends[: len(words) - width]].tolist()
     ends = (ends[width - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return fingerprint_bits(np.array([digest(buffer[a:b], 42) for a, b in zip(starts, ends)], np.uint64))
+    return np.array([digest(buffer[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
 
+def names(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
 
-    def run(ids, texts):
-        return {"doc_id": ids, "fp": [f - (1 << 64) if f >= 1 << 63 else f for f in (fingerprint(t, width) for t in texts)]}
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, key: Column | None = None) -> DataFrame:
+    """(doc_id, row, n, f0, ...): an identity of the row, distinct shingles, and the fingerprint's words as signed 64-bit numbers."""
 
-    return map_text(docs, run, "doc_id long, fp long", "doc_id", "text")
+    def run(ids, rows, texts):
+        out = {"doc_id": ids, "row": rows, "n": []} | {f: [] for f in names(words)}
+        for text in texts:
+            h = shingle_hashes(text, width)
+            out["n"].append(len(np.unique(h)) if words > 1 else 0)
+            for k, f in enumerate(names(words)):
+                out[f].append(signed(majority(stirred(h, k))))
+        return out
+
+    keyed = docs.select("doc_id", (F.lit(None).cast("string") if key is None else key).alias("row"), "text")
+    return map_text(keyed, run, "doc_id long, row string, n long, " + ", ".join(f"{f} long" for f in names(words)), "doc_id", "row", "text")
 
 
 class Forest:
@@ -103,18 +132,33 @@ class Forest:
         return kept
 
 
-def quarters(f: np.ndarray) -> np.ndarray:
-    return np.stack([np.bitwise_count((f >> np.uint64(s)) & FIRST) for s in (0, 16, 32, 48)], axis=1).astype(np.int16)
+def counts(f: np.ndarray) -> np.ndarray:
+    """Population counts of parts: a single word's quarters, or the words."""
+    if f.shape[1] > 1:
+        return np.bitwise_count(f).astype(np.int16)
+    return np.stack([np.bitwise_count((f[:, 0] >> np.uint64(s)) & FIRST) for s in (0, 16, 32, 48)], axis=1).astype(np.int16)
 
 
 def tiled(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by quarter counts; then each tile's least and largest counts."""
-    q = quarters(f)
+    """Order by the parts' counts; then each tile's least and largest counts."""
+    q = counts(f)
     order = np.lexsort(q.T[::-1])
     starts = np.arange(0, len(f), TILE)
     return order, np.minimum.reduceat(q[order], starts, axis=0), np.maximum.reduceat(q[order], starts, axis=0)
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs within ``radius`` bits: the first two words for all, the others where these leave room."""
+    d = np.bitwise_count(a[:, :1] ^ b[:, 0][None, :])
+    if a.shape[1] > 1:
+        d = d + np.bitwise_count(a[:, 1:2] ^ b[:, 1][None, :])
+    x, y = np.nonzero(d <= radius)
+    if a.shape[1] > 2 and len(x):
+        near = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int32) <= radius
+        x, y = x[near], y[near]
+    return x, y
+
+
 def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs within ``radius`` bits; ``right`` None: pairs within ``left``."""
     same = right is None
@@ -131,21 +175,23 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[t
         for k in range(0, len(near), AT_ONCE):
             at = (near[k : k + AT_ONCE, None] * TILE + np.arange(TILE)).ravel()
             at = at[at < len(b_all)]
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b_all[at][None, :]) <= radius)
+            x, y = near_pairs(a, b_all[at], radius)
             u, v = lo[i * TILE + x], ro[at[y]] + shift
             yield from forest.join(u[u != v], v[u != v])
 
 
-def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(u, v): a spanning forest, chunk pair by chunk pair, of all links between the distinct ``fp`` of ``prints``."""
-    spark = prints.sparkSession
-    strips = prints.select("fp", F.bit_count("fp").alias("pop"))
-    sizes = {r.pop: r.n for r in strips.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+def near_links(classes: DataFrame, words: int, radius: int, reach: int) -> DataFrame:
+    """(u, v): a spanning forest, chunk pair by chunk pair, of all links between the ``node`` of ``classes``.
+
+    Only strips that are at most ``reach`` apart can hold links.
+    """
+    spark = classes.sparkSession
+    sizes = {r.strip: r.n for r in classes.groupBy("strip").agg(F.count("*").alias("n")).collect()}  # 65 rows, or the logarithm of the longest text
     chunk = max(TILE, int(CHUNK * sum(sizes.values()) ** 0.5))
     chunks = {p: -(-n // chunk) for p, n in sizes.items()}
     pairs, part_of = [], {}
     for p in sorted(chunks):
-        for q in range(p, p + radius + 1):
+        for q in range(p, p + reach + 1):
             for i in range(chunks[p]):
                 for j in range(i if q == p else 0, chunks.get(q, 0)):
                     n = len(pairs)
@@ -155,19 +201,20 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
                         part_of.setdefault((q, j), []).append((n, 1))
     if not pairs:
         return spark.createDataFrame([], "u long, v long")
-    plan = spark.createDataFrame([(p, c, n, side) for (p, c), uses in part_of.items() for n, side in uses], "pop int, chunk int, pair int, side int")
+    plan = spark.createDataFrame([(p, c, n, side) for (p, c), uses in part_of.items() for n, side in uses], "strip int, chunk int, pair int, side int")
     of = F.create_map(*[F.lit(x) for p, c in chunks.items() for x in (p, c)])
-    rows = strips.withColumn("chunk", F.pmod(F.xxhash64("fp"), of[F.col("pop")].cast("long")).cast("int"))
-    dealt = rows.join(F.broadcast(plan), ["pop", "chunk"]).select("pair", "side", "fp")  # plan: as many rows as chunk pairs, from 65 counts
-
+    rows = classes.withColumn("chunk", F.pmod(F.xxhash64(*names(words)), of[F.col("strip")].cast("long")).cast("int"))
+    dealt = rows.join(F.broadcast(plan), ["strip", "chunk"]).select("pair", "side", "node", *names(words))  # plan: a few rows for each chunk pair
     alone = {n for n, (p, i, q, j) in enumerate(pairs) if (p, i) == (q, j)}
 
     def compare(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
-        fp, side = frame["fp"].to_numpy().view(np.uint64), frame["side"].to_numpy()
-        left, right = fp[side == 0], None if key[0] in alone else fp[side == 1]
+        f = np.stack([frame[k].to_numpy().view(np.uint64) for k in names(words)], axis=1)
+        side, node = frame["side"].to_numpy(), frame["node"].to_numpy()
+        left, right = f[side == 0], None if key[0] in alone else f[side == 1]
         found = list(links(left, right, radius)) if len(left) and (right is None or len(right)) else []
         u, v = np.array(found, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"u": left[u].view(np.int64), "v": (left[v] if right is None else right[v - len(left)]).view(np.int64)})
+        node = np.concatenate([node[side == 0], node[side == 1]])
+        return pd.DataFrame({"u": node[u], "v": node[v]})
 
     return dealt.groupBy("pair").applyInPandas(compare, "u long, v long")
 
@@ -194,13 +241,50 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id that links lead to, or null if all ids there are null."""
-    prints = cut_lineage(fingerprints(docs, width))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(near_links(classes, radius))
-    roots = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def grouped(prints: DataFrame, words: int, radius: int, strip: Column, reach: int) -> DataFrame:
+    """``prints`` with root and component_id: the smallest id that links lead to, or null if all ids there are null."""
+    prints = cut_lineage(prints.withColumn("strip", strip.cast("int")))
+    key = [*names(words), "strip"]
+    classes = cut_lineage(prints.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    linked = components(near_links(classes, words, radius, reach)).withColumnRenamed("node", "member")
+    roots = classes.join(linked, classes.node == linked.member, "left").select(*key, "least", F.coalesce("root", "node").alias("root"))
     of_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = roots.join(of_root, "root").select("fp", "component_id")
+    label = roots.join(of_root, "root").select(*key, "root", "component_id")
     # a hot fingerprint is one row on the right; AQE splits its rows on the left
-    return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(label, key, "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id): links are fingerprints of one word within ``radius`` bits."""
+    found = grouped(fingerprints(docs, width), 1, radius, F.bit_count("f0"), radius)
+    return found.select("doc_id", F.col("f0").alias("fp"), "component_id")
+
+
+def similar_radius(similarity: float, words: int) -> int:
+    """Bits that differ, at the mean and one deviation, between texts whose shingle sets have this similarity."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
+
+
+def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id (null ids come last).
+
+    Fingerprints of several words tell similarities apart that one word can't;
+    only texts whose numbers of distinct shingles are within ``similarity`` of
+    each other are compared, by strips of that ratio.
+    """
+    n = F.greatest("n", F.lit(1)).cast("double")
+    strip = F.floor(F.log(n) / F.lit(-math.log(similarity)) + 1e-9)
+    found = grouped(fingerprints(docs, width, words, row_key()), words, similar_radius(similarity, words), strip, 1)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    chosen = found.groupBy("root").agg(least.alias("m")).select(F.col("m.row").alias("__row"))
+    docs_key = docs.withColumn("__row", row_key())
+    kept = docs_key.join(chosen, "__row", "left_semi")
+    # rows that repeat both id and text: one of them; the join has dealt them by this key
+    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0))))
+    return once.filter("__n = 1").select(*docs.columns)
+
+
+def row_key() -> Column:
+    """An identity of id and text."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomspark.llm.common import cut_lineage, map_text, pieces
+from loomspark.llm.common import cut_lineage, keep_rows, map_text, pieces
 
 SCHEMA = "doc_id long, score double"
 #: Most labelled documents that the lexicon is learned from.
@@ -281,17 +281,31 @@ def score_texts(docs: DataFrame, lexicon: dict[str, float], model) -> DataFrame:
 
     def run(ids, texts):
         reader = state.setdefault("reader", Reader(model.value, lexicon))
-        out = []
-        for text in texts:
-            clean = 1 - BASE
-            for f in reader.read(text or ""):
-                clean *= 1 - lexicon[f]
-            out.append(1 - clean)
-        return {"doc_id": ids, "score": out}
+        return {"doc_id": ids, "score": [chance(reader.read(t or ""), lexicon) for t in texts]}
 
     return map_text(docs, run, SCHEMA, "doc_id", "text")
 
 
+def chance(found: set[str], lexicon: dict[str, float]) -> float:
+    clean = 1 - BASE
+    for f in sorted(found):
+        clean *= 1 - lexicon[f]
+    return 1 - clean
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(language_model(docs))
+    lexicon = learn(docs, labels, model)
+    state: dict[str, Reader] = {}
+
+    def test(texts):
+        reader = state.setdefault("reader", Reader(model.value, lexicon))
+        return [chance(reader.read(t or ""), lexicon) < limit for t in texts]
+
+    return keep_rows(docs, test)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per document."""
     model = docs.sparkSession.sparkContext.broadcast(language_model(docs))  # 28 ** 4 floats
