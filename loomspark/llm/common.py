@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,8 +71,10 @@ def input_bytes(df: DataFrame) -> int:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of steps whose results are checkpointed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what one round sets free holds what the next one does
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def keep_rows(docs: DataFrame, test: Callable[[list], list[bool]], most: int = 4 << 20) -> DataFrame:
