@@ -36,7 +36,7 @@ CLASSES = {"hex": (re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}"), 3.0), "word": (re.c
 #: Strings that look random but are known to be public.
 ALLOWED = (re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"(?i)[a-z0-9+/_=-]*example[a-z0-9+/_=-]*"), re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/=]+"), re.compile(r"(?i)[a-z0-9+/_=-]*(?:abcdefghij|0123456789)[a-z0-9+/_=-]*"))
 #: c * log2(c) for all counts of a window.
-CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def hot_windows(text: str, threshold: float) -> list[tuple[int, int]]:

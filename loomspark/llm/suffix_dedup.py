@@ -119,12 +119,17 @@ class Piece:
     def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each distinct context: an anchor with its smallest id; then each anchor's context number and that id."""
         own = self.id()
-        order = np.lexsort((own, self.context))
-        new = np.r_[True, np.diff(self.context[order]) != 0] if len(order) else np.zeros(0, bool)
-        first = order[new]
+        if not len(own):
+            return self.at, self.at, own
+        order = np.argsort(self.context)
+        new = np.r_[True, np.diff(self.context[order]) != 0]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        return first, number, own[first]
+        least = np.minimum.reduceat(own[order], np.flatnonzero(new))
+        first = np.empty(len(least), np.int64)
+        at = np.flatnonzero(own == least[number])
+        first[number[at[::-1]]] = at[::-1]
+        return first, number, least
 
 
 def planes(*arrays: np.ndarray) -> bytes:
@@ -178,7 +183,7 @@ def send(bits: int):
             cuts = np.flatnonzero(np.r_[True, np.diff(shard) != 0]) if len(shard) else []
             out = []
             for a, b in zip(cuts, [*cuts[1:], len(shard)]):
-                out.append({"shard": int(shard[a]), "piece": piece, "n": int(b - a), "payload": planes(gram[a:b], context[a:b], least[a:b])})
+                out.append({"shard": int(shard[a]), "piece": piece, "n": int(b - a), "payload": planes(np.diff(gram[a:b], prepend=np.uint64(0)), context[a:b], least[a:b])})
             if out:
                 yield to_batch(out, arrow)
 
@@ -197,20 +202,19 @@ def answer():
     def run(batches):
         for _, rows in by_key(batches, 4):
             parts = [from_planes(r[3], 3) for r in rows]
-            gram, context, least = (np.concatenate(x) for x in zip(*parts))
+            gram, context, least = (np.concatenate(x) for x in zip(*((np.cumsum(g), c, d) for g, c, d in parts)))
             least = least.view(np.int64)
             piece = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
-            order = np.lexsort((least, context, gram))
+            order = np.argsort(context)  # equal contexts hold equal grams
             gram, context, least, piece = gram[order], context[order], least[order], piece[order]
-            new = np.r_[True, (np.diff(context) != 0) | (np.diff(gram) != 0)]
-            head = np.flatnonzero(new)
-            number = np.cumsum(new) - 1
-            known = least > least[head][number]
-            opens = np.flatnonzero(np.r_[True, np.diff(gram[head]) != 0])
-            several = np.repeat(np.diff(np.r_[opens, len(head)]), np.diff(np.r_[opens, len(head)]))[number]
+            head = np.flatnonzero(np.r_[True, np.diff(context) != 0])
+            number = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(context)]))
+            known = least > np.minimum.reduceat(least, head)[number]
+            _, of, contexts = np.unique(gram[head], return_inverse=True, return_counts=True)
+            several = contexts[of][number]
             kind = np.where(known, KNOWN, np.where(several > MANY, ASKED_MANY, ASKED))
             keep = np.flatnonzero(known | (several > 1))
-            keep = keep[np.lexsort((kind[keep], piece[keep]))]
+            keep = keep[np.argsort(piece[keep] * 4 + kind[keep], kind="stable")]
             code = piece[keep] * 4 + kind[keep]
             cuts = np.flatnonzero(np.r_[True, np.diff(code) != 0]) if len(code) else []
             out = []
@@ -278,7 +282,7 @@ def refine(data: np.ndarray, n: int) -> np.ndarray:
     single never move, and only the others are sorted again at each doubling.
     """
     key = words(data)[:n].byteswap()
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order]
     start = np.r_[True, same[1:] != same[:-1]]
     rank = np.full(n + 1, -1, np.int64)
@@ -291,7 +295,7 @@ def refine(data: np.ndarray, n: int) -> np.ndarray:
             break
         at = order[todo]
         group, second = rank[at], rank[np.minimum(at + h, n)]
-        inner = np.argsort(group * (n + 2) + second + 1, kind="stable")
+        inner = np.argsort(group * (n + 2) + second + 1)
         at, group, second = at[inner], group[inner], second[inner]
         order[todo] = at
         new = np.r_[True, (group[1:] != group[:-1]) | (second[1:] != second[:-1])]

@@ -44,7 +44,9 @@ SCHEMA = "doc_id long, score double"
 #: Most labelled documents that the lexicon is learned from.
 SAMPLE = 16_000
 #: Candidate features of the lexicon, and how it is chosen.
-CANDIDATES, LEAST_DOCS, PRECISION = 20_000, 4, 0.9
+CANDIDATES, LEAST_DOCS, PRECISION = 20_000, 4, 0.92
+#: Toxic documents that a feature must be in to be taken for fewer than LEAST_DOCS of its own.
+CLEAR = 8
 BASE = 0.02
 LETTERS = 26
 OTHER, ALPHABET = 27, 28  # 26: outside of words
@@ -177,7 +179,7 @@ class Restorer:
 
 
 def features(word: str) -> list[str]:
-    return [word + "$", *(word[:k] for k in (4, 5, 6) if len(word) >= k)]
+    return [word + "$", *(word[:k] for k in (4, 5, 6, 7, 8) if len(word) >= k)]
 
 
 class Reader:
@@ -264,9 +266,11 @@ def greedy_cover(sets: list[set[str]], weight: dict[str, tuple[int, int]]) -> di
     while where:
         f = min(where, key=lambda f: (-len(where[f]), weight[f][1], -len(f), f))
         docs = where.pop(f)
-        if len(docs) < LEAST_DOCS:
-            break
         a, b = weight[f]
+        if not docs:
+            break
+        if len(docs) < LEAST_DOCS and (a < CLEAR or b):
+            continue
         out[f] = (a + 0.5) / (a + b + 1)
         for i in docs:
             for g in sets[i]:

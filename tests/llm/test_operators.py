@@ -1,0 +1,455 @@
+"""Training-data operators against brute force, exact round trips and held-out labels."""
+
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, node string"
+LONG = "wörter " * 20_000
+
+
+def docs(spark, rows):
+    """Rows (doc_id, text, source) with extra columns whose names clash with those of operators."""
+    return spark.createDataFrame([(i, t, "xx", s, len(t or ""), "mine", "mine") for i, t, s in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, texts and sources, empty and very long texts, ties and repeated rows."""
+    return [(1, "one two three four", "a"), (1, "one two three four", "a"), (2, None, None), (None, "one two three four", "b"), (3, "", "b"), (4, LONG, "a"), (5, LONG, None), (5, "x", "c"), (None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, small):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# -- 1 toxicity ------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    from loomspark.llm.queries import op1_toxicity
+
+    out = op1_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in out) >= 0.97 * len(out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+
+
+def test_toxicity_restores_obfuscated_words(spark, texts):
+    from loomspark.llm.toxicity import Restorer, language_model
+
+    model = language_model(docs(spark, [(i, t + " idiot stupid loser worthless", "a") for i, t in texts]))
+    r = Restorer(model)
+    assert r.restore("an 1d10t and st000pid") != "an 1d10t and st000pid"
+    assert r.restore("an id1ot") == "an idiot"
+    assert r.restore("you l o s e r now") == "you loser now"
+    assert r.restore("looooser w0rthless") == "loser worthless"
+    assert r.restore("plain words stay") == "plain words stay"
+
+
+def test_toxicity_odd_rows(spark, odd):
+    from loomspark.llm.toxicity import keep_clean, toxicity
+
+    labels = spark.createDataFrame([(1, None), (2, 1), (None, 1)], "doc_id long, toxic int")
+    out = toxicity(docs(spark, odd), labels).collect()
+    assert len(out) == len(odd) and all(0 <= r.score <= 1 and r.held_out is not None for r in out)
+    assert keep_clean(docs(spark, odd), labels).columns == docs(spark, odd).columns
+    assert toxicity(docs(spark, []), labels.limit(0)).count() == 0
+
+
+# -- 2 personal data ---------------------------------------------------------------
+
+EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(d):
+    return sum((x := int(c) * (1 + i % 2)) - 9 * (x > 9) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_pii(x):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in EMAIL.finditer(x)]
+    out += [("ip", *m.span()) for m in IP.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(x) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(x) if 9 <= len(digits(m)) <= 15]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_pii_base_spans(spark, texts):
+    from loomspark.llm.pii import find, report
+
+    tricky = ["a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255", "4111 1111-1111 1111 4111111111111112", "+1 (980) 555-6268 +12", "é@x.y 😀 a.b@c-d.e 0@0.0", "+1" + " " * 50 + "2", "9" * 3000, "a" * 5000 + "@" + "b." * 3000, "1." * 3000]
+    rows = texts + [(10_000 + i, t) for i, t in enumerate(tricky)]
+    got = {r.doc_id: r for r in report(find(docs(spark, [(i, t, "a") for i, t in rows]))).collect()}
+    for i, t in rows:
+        want = base_pii(t)
+        assert got[i].base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest(), t[:80]
+        assert got[i].spans.startswith(joined(want))
+
+
+def test_pii_terms_disclose_and_are_generalised(spark):
+    from loomspark.llm.pii import clean, find
+
+    rows = [(i, f"filler{i} common words with writing here", "a") for i in range(200)]
+    rows += [(1000 + i, f"common words Zanzibarian writes to jo.doe@example.com with common words {i}", "a") for i in range(3)]
+    out = {r.doc_id: r.text for r in clean(docs(spark, rows)).collect()}
+    assert out[5] == rows[5][1] and out[1000] == "common words [TERM] [TERM] to [EMAIL] with common words 0"
+    assert all(not r.term for r in find(docs(spark, rows)).collect() if r.doc_id < 1000)
+
+
+def test_pii_odd_rows(spark, odd):
+    from loomspark.llm.pii import clean, find
+
+    df = docs(spark, odd)
+    assert find(df).count() == len(odd)
+    assert sorted(map(str, clean(df).collect())) == sorted(map(str, df.collect()))
+    assert find(docs(spark, [])).count() == 0 and clean(docs(spark, [])).count() == 0
+
+
+# -- 3 mixing ----------------------------------------------------------------------
+
+
+def test_apportionment_is_highest_quotients():
+    from loomspark.llm.mixing import capped_targets, sainte_lague
+
+    rng = random.Random(1)
+    for _ in range(200):
+        w = [rng.randrange(0, 1000) for _ in range(rng.randrange(1, 9))]
+        seats = rng.randrange(0, 60)
+        plain = [0] * len(w)
+        for _ in range(seats if sum(w) else 0):
+            plain[max(range(len(w)), key=lambda i: (w[i] / (2 * plain[i] + 1), -i))] += 1
+        assert sainte_lague(w, seats) == plain
+    t = capped_targets([10, 100, 1000], [1, 2, 3])
+    assert t == [30.0, 300.0, 780.0] and sum(t) == 1110
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_mix_meets_targets(spark, size):
+    from loomspark.llm.queries import op3_mixing
+
+    rows = op3_mixing(spark, f"/root/testdata/{size}").collect()
+    src = {r.doc_id: r.source for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()}
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()}
+    taken, target = {}, {}
+    for r in rows:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id] or "")) and 0 <= r.taken <= 3 * r.size
+        taken[src[r.doc_id]] = taken.get(src[r.doc_id], 0) + r.taken
+        target[src[r.doc_id]] = r.target
+    assert len(rows) == len(text)
+    for s in target:
+        assert abs(taken[s] - target[s]) <= max(48, 0.01 * target[s]), (s, taken[s], target[s])
+    assert sorted(map(str, rows)) == sorted(map(str, op3_mixing(spark, f"/root/testdata/{size}").collect()))
+
+
+def test_mix_odd_rows(spark, odd):
+    from loomspark.llm.mixing import mix
+
+    out = mix(docs(spark, odd)).collect()
+    assert len(out) == len(odd) and sum(r.taken for r in out) > 0
+    assert mix(docs(spark, [])).count() == 0 and mix(docs(spark, [(1, "", "a")])).first().taken == 0
+
+
+# -- 4 decontamination ---------------------------------------------------------------
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_leaks_are_found_up_to_the_limit(spark, small, texts):
+    from loomspark.llm.decontam import find_leaks
+
+    rng = random.Random(5)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    clean = [t for _, t in texts if not any(b in t for _, b in bench)][:60]
+    rows, want = [], set()
+    for k, (item, text) in enumerate(bench):
+        w = text.split()
+        for _ in range(int(0.15 * len(w))):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(3)
+            w[at : at + 1] = [["zzz"], [], [w[at], "qqq"]][kind]
+        rows.append((5000 + k, clean[k % len(clean)] + " " + " ".join(w).upper() + " " + clean[(k + 1) % len(clean)], "a"))
+        want.add((5000 + k, item))
+    rows += [(k, t, "a") for k, t in enumerate(clean)]
+    got = find_leaks(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(found & want) >= 0.95 * len(want)
+    assert all(d >= 5000 for d, _ in found)
+    by = dict((i, t) for i, t, _ in rows)
+    items = dict(bench)
+    for r in got:
+        a, b = re.findall(r"\w+", by[r.doc_id][r.start : r.end].lower()), re.findall(r"\w+", items[r.item_id].lower())
+        assert edit(a, b) <= 0.2 * len(b) and r.distance <= 0.2 * len(b)
+
+
+def test_exact_leaks_all_found(spark):
+    from loomspark.llm.queries import op4_decontamination
+
+    got = {(r.doc_id, r.item_id) for r in op4_decontamination(spark, "/root/testdata/sf0.01").collect()}
+    d, b = ("/root/testdata/sf0.01/%s.parquet" % n for n in ("documents", "benchmark"))
+    want = set(duckdb.connect().sql(f"select doc_id, item_id from '{d}' d, '{b}' b where contains(d.text, b.text)").fetchall())
+    assert want and want <= got
+
+
+def test_leaks_odd_rows(spark, odd):
+    from loomspark.llm.decontam import drop_leaks, find_leaks
+
+    bench = spark.createDataFrame([(1, None), (2, ""), (None, "one two three four"), (4, "one two three four")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs(spark, odd), bench).collect()} == {(1, None), (1, 4), (None, None), (None, 4)}
+    assert drop_leaks(docs(spark, odd), bench).count() == len(odd) - 3
+    assert find_leaks(docs(spark, []), bench).count() == 0 and find_leaks(docs(spark, odd), bench.limit(0)).count() == 0
+
+
+# -- 5 secrets -----------------------------------------------------------------------
+
+
+def base_secrets(x):
+    out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.I | re.A) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_secrets(spark, texts, odd):
+    from loomspark.llm.secrets import CLOG, WINDOW, find_secrets, hot_windows, redact
+
+    tricky = ['x="PASSWORD" : abc12', "Token==abcdefg api_key='zzzzzz' apikey: qqqqqqq", "AKIA" + "Z" * 16 + " " + "a" * 23 + "g" + "0" * 24, "key zq8Kf93LmPqT7rWxYb2Nc5", "id 550e8400-e29b-41d4-a716-446655440000", "ſecret=abcdefgh toKen = abcdefgh"]
+    rows = [(i, t, "a") for i, t in texts] + [(9000 + i, t, "a") for i, t in enumerate(tricky)]
+    got = {r.doc_id: r for r in find_secrets(docs(spark, rows)).collect()}
+    for i, t, _ in rows:
+        assert got[i].base_sha256 == hashlib.sha256(joined(base_secrets(t)).encode()).hexdigest(), t[:80]
+    assert got[9003].n_entropy == 1 and got[9004].n_entropy == 0
+    assert "zq8K" not in redact(tricky[3])
+    rng = random.Random(2)
+    for _ in range(50):  # incremental counts against counting anew
+        s = "".join(rng.choice("abcdefgh01234567XYZ") for _ in range(60))
+        hot = {k for a, b in hot_windows(s, 3.3) for k in range(a, b)}
+        plain = set()
+        for a in range(len(s) - WINDOW + 1):
+            w = s[a : a + WINDOW]
+            h = math.log2(WINDOW) - sum(CLOG[w.count(c)] for c in set(w)) / WINDOW
+            if h >= 3.3 - 1e-12 and any(c.isdigit() for c in w) and not w.isdigit():
+                plain |= set(range(a, a + WINDOW))
+        assert hot == plain
+    assert find_secrets(docs(spark, odd)).count() == len(odd) and find_secrets(docs(spark, [])).count() == 0
+
+
+# -- 6 chat ---------------------------------------------------------------------------
+
+
+def test_chat_reads_back(spark, small):
+    from loomspark.llm.queries import op6_chat_format
+
+    said = r"\### Assistant: </turn> ok"
+    rows = [(r.conv_id, r.turn, r.role, r.text or "") for r in spark.read.parquet(f"{small}/conversations.parquet").collect()] + [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    got = {r.conv_id: r for r in op6_chat_format(spark, small).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c, r in got.items():
+        turns = sorted(x for x in rows if x[0] == c)
+        assert r.n_turns == len(turns)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in turns).encode()).hexdigest()
+        learned = "".join(x[3] for x in turns if x[2] == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
+def test_chat_long_and_odd(spark, monkeypatch):
+    from loomspark.llm import chat
+
+    rows = [(1, i, "assistant" if i % 2 else "user", "</turn>###: \\" * 3000) for i in range(100)] + [(None, None, None, None), (2, 0, None, "a"), (2, 0, None, "a")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
+    parts = chat.format_chats(df)
+    assert parts.filter("conv_id = 1").count() > 1
+    out = {r.conv_id: r for r in chat.read_back(parts).collect()}
+    assert out[1].n_turns == 100 and out[1].loss_chars == 50 * len(rows[0][3]) and out[None].n_turns == 1 and out[2].n_turns == 2
+    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_layouts(spark):
+    import json
+
+    from loomspark.llm.chat import canonical_turns
+
+    records = [{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, {"system": "s", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, {"instruction": "i", "input": "x", "output": "o"}, {"prompt": "p", "response": "r", "id": 3}, {"what": 1}, None]
+    df = spark.createDataFrame([(i, json.dumps(r) if r else None) for i, r in enumerate(records)], "conv_id long, record string")
+    out = {}
+    for r in canonical_turns(df).orderBy("conv_id", "turn").collect():
+        out.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert out[0] == [("user", "a"), ("assistant", "b")] and out[1] == [("system", "s"), ("user", "a"), ("assistant", "b")]
+    assert out[2] == [("user", "i"), ("user", "x"), ("assistant", "o")] and out[3] == [("user", "p"), ("assistant", "r")]
+    assert out[4] == [(None, None)] == out[5]
+
+
+# -- 7 tiff ---------------------------------------------------------------------------
+
+
+def test_tiff_round_trips():
+    from loomspark.llm.tiff import DEFLATE, LZW, PACKBITS, PLAIN, decode_pages, encode_pages
+
+    rng = random.Random(1)
+    for payload in (os.urandom(640), bytes(rng.choice(b"abcd ") for _ in range(64 * 900)), b"a" * 64):
+        for kind in (PLAIN, LZW, DEFLATE, PACKBITS):
+            for predictor in (1, 2):
+                for tile in (0, 48):
+                    pages = list(decode_pages(encode_pages(payload, compression=kind, predictor=predictor, tile=tile, page_rows=500, rows_per_strip=100)))
+                    assert all(p["error"] is None for p in pages) and b"".join(p["pixels"] for p in pages) == payload
+    broken = encode_pages(b"a" * 640)
+    assert list(decode_pages(broken[:40]))[-1]["error"] and list(decode_pages(b"no"))[0]["error"] and list(decode_pages(None)) == []
+
+
+def test_tiff_query(spark, small, texts, odd):
+    from loomspark.llm.queries import op7_tiff
+    from loomspark.llm.tiff import digest_pages, read_pages, store_texts
+
+    got = {r.doc_id: r for r in op7_tiff(spark, small).collect()}
+    for i, t in texts:
+        raw = t.encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert digest_pages(read_pages(store_texts(docs(spark, odd)))).count() == len(odd)
+    assert read_pages(spark.createDataFrame([(1, None), (2, b"xx")], "doc_id long, media binary")).count() == 1
+
+
+# -- 8 simhash ------------------------------------------------------------------------
+
+
+def brute_components(prints, radius):
+    ids = [i for i, _ in prints]
+    up = list(range(len(ids)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if bin(prints[a][1] ^ prints[b][1]).count("1") <= radius:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    least = {}
+    for k, i in enumerate(ids):
+        least[root(k)] = min(least.get(root(k), i), i)
+    return {i: least[root(k)] for k, i in enumerate(ids)}
+
+
+def test_simhash_against_brute_force(spark, small, texts):
+    import xxhash
+
+    from loomspark.llm.queries import op8_simhash_near_dedup
+    from loomspark.llm.simhash import near_duplicates
+
+    def plain(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sh = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    want = [(i, plain(t)) for i, t in texts]
+    got = {r.doc_id: r for r in op8_simhash_near_dedup(spark, small).collect()}
+    assert {i: f"{f:016x}" for i, f in want} == {i: r.fingerprint for i, r in got.items()}
+    assert brute_components(want, 2) == {i: r.component_id for i, r in got.items()}
+    # a wide radius makes many links and long chains
+    wide = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, [(i, t, "a") for i, t in texts]), 3, 14).collect()}
+    assert wide == brute_components(want, 14)
+
+
+def test_near_copies_go(spark, texts, odd):
+    from loomspark.llm.simhash import first_of_each
+
+    rng = random.Random(3)
+    long = [t for _, t in texts if len(t.split()) > 150 and len(set(t.split())) > 100][:20]
+    rows = [(i, t, "a") for i, t in enumerate(long)]
+    for i, t in enumerate(long):
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        rows += [(100 + i, " ".join(w), "b"), (200 + i, t, "c")]
+    kept = {r.doc_id for r in first_of_each(docs(spark, rows)).collect()}
+    assert kept <= set(range(20)) and len(kept) >= 17
+    out = first_of_each(docs(spark, odd)).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None and (r.text or "")[:1] in ("o", "w", "x")) == [(1, "one two three four"), (4, LONG), (5, "x")]
+    assert first_of_each(docs(spark, [])).count() == 0
+
+
+# -- 9 repeated passages ----------------------------------------------------------------
+
+
+def brute_repeats(rows):
+    first, out = {}, {}
+    for i, x in rows:
+        for s in range(len(x) - 49):
+            first[x[s : s + 50]] = min(first.get(x[s : s + 50], i), i)
+    for i, x in rows:
+        m = [False] * len(x)
+        for s in range(len(x) - 49):
+            if first[x[s : s + 50]] < i:
+                m[s : s + 50] = [True] * 50
+        spans = sum(1 for k in range(len(m)) if m[k] and (not k or not m[k - 1]))
+        out.setdefault(i, []).append((len(x), sum(m), spans, hashlib.sha256(bytes(b for b, g in zip(x, m) if not g)).hexdigest()))
+    return out
+
+
+def test_repeats_against_brute_force(spark, small, texts, monkeypatch):
+    from loomspark.llm import suffix_dedup
+    from loomspark.llm.queries import op9_suffix_dedup
+
+    want = brute_repeats([(i, t.encode()) for i, t in texts])
+    assert {r.doc_id: [tuple(r)[1:]] for r in op9_suffix_dedup(spark, small).collect()} == want
+    rng = random.Random(7)
+    base = "".join(rng.choice("ab") for _ in range(400))
+    rows = [(1, "x" * 300), (2, "x" * 49 + "y" + "x" * 50), (3, base), (4, base[50:120] + "ü" + base[100:180] + base[100:180]), (5, base[:49]), (6, base[:50]), (6, base), (7, None), (8, ""), (9, "ab" * 200), (10, "ba" * 200)]
+    rows += [(20 + k, "".join(rng.choice("ab") for _ in range(60)) + base[60:160] + "".join(rng.choice("ab") for _ in range(60))) for k in range(60)]
+    want = brute_repeats([(i, (t or "").encode()) for i, t in rows])
+    for many in (20_000, 3):  # 3: all anchors with several contexts go the way of hot ones
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        got = {}
+        for r in suffix_dedup.remove_repeats(docs(spark, [(i, t, "a") for i, t in rows])).collect():
+            got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_repeats_odd_rows(spark, odd):
+    from loomspark.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(docs(spark, odd)).collect()
+    assert len(out) == len(odd) and {r.n_removed for r in out if r.doc_id == 5} == {0, len(LONG.encode())}
+    assert remove_repeats(docs(spark, [])).count() == 0
+
+
+# -- 10 tokens --------------------------------------------------------------------------
+
+
+def test_token_counts(spark, small, texts, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomspark.llm.queries import op10_token_counts
+    from loomspark.llm.token_counts import count_tokens
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for r, (_, t) in zip(sorted(op10_token_counts(spark, small).collect()), sorted(texts)):
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), count(t), count(t) > 512)
+    tricky = ["a" * 5000, "aaa aaaa  aaaaa\n\n \n x y  z\x1c\x1d q\x85", "<|endoftext|>hi<|endoftext|><|endoftext|>", "it's I'LL we've 12 34½ ²x ٣٤ 日本語 😀😀 é ​ ﻿ x", "  lead", "trail  ", "\t\ttab\n\nx", "abcabcabc" * 300, "'''s 's　  x"]
+    got = count_tokens(docs(spark, [(i, t, "a") for i, t in enumerate(tricky)]), path).collect()
+    assert [r.n_tokens for r in sorted(got)] == [count(t) for t in tricky]
+    assert count_tokens(docs(spark, odd), path).count() == len(odd) and count_tokens(docs(spark, []), path).count() == 0
