@@ -77,5 +77,18 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+CHAT_SQL = r"""with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, x, case x when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(2) r(x)),
+f as (select *, '### ' || regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g') || ': ' || regexp_replace(text, '(\\|###|</turn>|: )', '\\\1', 'g') || '</turn>' || chr(10) as formatted from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(formatted)) as bigint) as formatted_chars
+from f group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins where SQL can express an operator; the others are held against brute force by tests."""
+    return {"op6_chat_format": CHAT_SQL}
