@@ -91,4 +91,6 @@ from f group by conv_id"""
 
 def oracle_sql() -> dict[str, str]:
     """Twins where SQL can express an operator; the others are held against brute force by tests."""
-    return {"op6_chat_format": CHAT_SQL}
+    from loomspark.llm.pii_sql import query
+
+    return {"op2_pii": query(), "op6_chat_format": CHAT_SQL}
