@@ -89,8 +89,21 @@ select conv_id, count(*) as n_turns,
 from f group by conv_id"""
 
 
+REPEATS_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+p as (select doc_id, i, substr(x, 2 * i + 1, 2) as b, case when 2 * i + 100 <= length(x) then substr(x, 2 * i + 1, 100) end as w
+  from (select doc_id, x, unnest(range(0, length(x) // 2)) as i from d)),
+f as (select w, min(doc_id) as m from p where w is not null group by w),
+g as (select p.doc_id, i, b, cast(coalesce(f.m < p.doc_id, false) as int) as gone from p left join f on p.w = f.w),
+c as (select *, max(gone) over (partition by doc_id order by i rows between 49 preceding and current row) as r from g),
+e as (select *, coalesce(lag(r) over (partition by doc_id order by i), 0) as before from c),
+s as (select doc_id, sum(r) as n_removed, count(*) filter (r = 1 and before = 0) as n_spans, string_agg(b, '' order by i) filter (r = 0) as kept from e group by 1)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join s using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins where SQL can express an operator; the others are held against brute force by tests."""
     from loomspark.llm.pii_sql import query
 
-    return {"op2_pii": query(), "op6_chat_format": CHAT_SQL}
+    return {"op2_pii": query(), "op6_chat_format": CHAT_SQL, "op9_suffix_dedup": REPEATS_SQL}
