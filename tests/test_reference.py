@@ -206,3 +206,17 @@ def test_entry_without_training_operators(monkeypatch):
     monkeypatch.setitem(sys.modules, "loomspark.llm", None)
     monkeypatch.setitem(sys.modules, "loomspark.llm.queries", None)
     assert set(__spark_entry__.queries()) == set(catalogue.queries()) and __spark_entry__.oracle_sql() == catalogue.oracle_sql()
+
+
+def test_feature_texts_and_selection(spark, small):
+    from loomspark.operators import selection
+
+    assert selection.parse("do_var(train_df, ['ip','day'], 'os' )") == FeatureSpec("var", ("ip", "day"), "os")
+    assert selection.parse("add_counts(train_df, ['ip'])").name == "ip_count"
+    for bad in ("__import__('os').system('x')", "print(1)", "do_var"):
+        with pytest.raises(ValueError):
+            selection.parse(bad)
+    e = spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts", "user_id", "value", F.unix_timestamp("ts").alias("t"))
+    e = e.withColumn("y", (F.col("event_id") % 3 == 0).cast("int"))
+    kept, best, gains = selection.select(e, [FeatureSpec("count", ("user_id",)), FeatureSpec("next_click", ("user_id",))], "y", ["event_id", "ts", "user_id", "t"], "t", "event_id", "ts", rounds=2, depth=2)
+    assert len(kept) == len(gains) <= 2 and 0 <= best <= 1
