@@ -1,8 +1,9 @@
 """SimHash near-duplicates by tiled exact comparison of fingerprints.
 
 Fingerprints come from three-word shingles (any width may be asked for); the
-pipeline takes four words of bits over five-word shingles, whose distance
-tells a similarity of 0.8, and compares strips of text length.
+pipeline takes four words of bits over the sets of five-word shingles, compares
+strips of text length, and holds pairs near the limit against each other's
+whole sets.
 Documents with the same fingerprint are one class at once (``groupBy`` with a
 map-side minimum), so a group of copies of any size is a single fingerprint
 afterwards.  The distinct fingerprints are laid into *strips* by population
@@ -26,7 +27,8 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,10 @@ from loomspark.llm.common import cut_lineage, map_text
 
 #: A chunk has about this many times the square root of all distinct fingerprints: 70,000 rows of 33 million, 16 MB of 30 billion.
 CHUNK = 12
+#: Bytes of shingle sets that a chunk's rows may have, where they are compared.
+SETS = 48 << 20
+#: Pairs that wait for the links of a chunk pair, sets compared at once, and rows up to which a list of texts is broadcast.
+WAITING, BATCH, LISTED = 2_000_000, 64, 100_000
 #: Rows of a tile, and tiles that are compared with a tile at once.
 TILE, AT_ONCE = 256, 16
 FIRST = np.uint64(0xFFFF)
@@ -88,13 +94,17 @@ def names(words: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, key: Column | None = None) -> DataFrame:
-    """(doc_id, row, n, f0, ...): an identity of the row, distinct shingles, and the fingerprint's words as signed 64-bit numbers."""
+    """(doc_id, row, n, f0, ...): an identity of the row, distinct shingles, and the fingerprint's words as signed 64-bit numbers.
+
+    A single word counts repeats of a shingle; several words tell the similarity of sets.
+    """
 
     def run(ids, rows, texts):
         out = {"doc_id": ids, "row": rows, "n": []} | {f: [] for f in names(words)}
         for text in texts:
             h = shingle_hashes(text, width)
-            out["n"].append(len(np.unique(h)) if words > 1 else 0)
+            h = np.unique(h) if words > 1 else h
+            out["n"].append(len(h) if words > 1 else 0)
             for k, f in enumerate(names(words)):
                 out[f].append(signed(majority(stirred(h, k))))
         return out
@@ -147,26 +157,30 @@ def tiled(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.minimum.reduceat(q[order], starts, axis=0), np.maximum.reduceat(q[order], starts, axis=0)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs within ``radius`` bits: the first two words for all, the others where these leave room."""
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs within ``radius`` bits, and their bits: two words for all, further words where these are within ``half``."""
     d = np.bitwise_count(a[:, :1] ^ b[:, 0][None, :])
     if a.shape[1] > 1:
         d = d + np.bitwise_count(a[:, 1:2] ^ b[:, 1][None, :])
-    x, y = np.nonzero(d <= radius)
+    x, y = np.nonzero(d <= (half if a.shape[1] > 2 else radius))
+    d = d[x, y].astype(np.int32)
     if a.shape[1] > 2 and len(x):
-        near = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int32) <= radius
-        x, y = x[near], y[near]
-    return x, y
+        d += np.bitwise_count(a[x, 2:] ^ b[y, 2:]).sum(axis=1, dtype=np.int32)
+        near = d <= radius
+        x, y, d = x[near], y[near], d[near]
+    return x, y, d
 
 
-def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs within ``radius`` bits; ``right`` None: pairs within ``left``."""
+def tile_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, bits) of the pairs within ``radius``, some tiles at a time.
+
+    Rows of ``right`` are counted on from those of ``left``; None: pairs within ``left``.
+    """
     same = right is None
     right = left if same else right
     lo, lmin, lmax = tiled(left)
     ro, rmin, rmax = (lo, lmin, lmax) if same else tiled(right)
-    a_all, b_all = left[lo], right[ro]
-    forest, shift = Forest(len(left) + (0 if same else len(right))), 0 if same else len(left)
+    a_all, b_all, shift = left[lo], right[ro], 0 if same else len(left)
     for i in range(len(lmin)):
         gap = np.maximum(0, np.maximum(rmin - lmax[i], lmin[i] - rmax)).sum(axis=1)
         near = np.flatnonzero(gap <= radius)
@@ -175,20 +189,114 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[t
         for k in range(0, len(near), AT_ONCE):
             at = (near[k : k + AT_ONCE, None] * TILE + np.arange(TILE)).ravel()
             at = at[at < len(b_all)]
-            x, y = near_pairs(a, b_all[at], radius)
+            x, y, d = near_pairs(a, b_all[at], radius, half)
             u, v = lo[i * TILE + x], ro[at[y]] + shift
-            yield from forest.join(u[u != v], v[u != v])
+            apart = u != v
+            yield u[apart], v[apart], d[apart]
 
 
-def near_links(classes: DataFrame, words: int, radius: int, reach: int) -> DataFrame:
-    """(u, v): a spanning forest, chunk pair by chunk pair, of all links between the ``node`` of ``classes``.
+def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs within ``radius`` bits."""
+    forest = Forest(len(left) + (0 if right is None else len(right)))
+    for u, v, _ in tile_pairs(left, right, radius, radius):
+        yield from forest.join(u, v)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bits between texts of a similarity: all are within ``radius`` and ``half`` (of two words), and within ``sure`` none is below it.
+
+    A bit differs with chance acos(2 s / (1 + s)) / pi; ``radius`` and ``sure``
+    are 3 and 3.5 standard deviations from the mean, ``half`` is 5.
+    """
+
+    similarity: float
+    words: int
+
+    def at(self, bits: int, deviations: float) -> int:
+        share = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+        return max(0, int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5))
+
+    @property
+    def radius(self) -> int:
+        return self.at(64 * self.words, 3)
+
+    @property
+    def half(self) -> int:
+        return self.at(128, 5)
+
+    @property
+    def sure(self) -> int:
+        return self.at(64 * self.words, -3.5)
+
+
+def sort_out(left: np.ndarray, right: np.ndarray | None, limits: Limits) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the sure pairs, and the rows of further pairs that it leaves apart."""
+    n = len(left) + (0 if right is None else len(right))
+    forest, kept, doubtful = Forest(n), [], np.zeros(n, bool)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle():
+        for u, v in waiting:
+            apart = forest.up[u] != forest.up[v]
+            doubtful[u[apart]] = doubtful[v[apart]] = True
+        waiting.clear()
+
+    held = 0
+    for u, v, d in tile_pairs(left, right, limits.radius, limits.half):
+        near = d <= limits.sure
+        kept += forest.join(u[near], v[near])
+        waiting.append((u[~near], v[~near]))
+        held += len(u)
+        if held > WAITING:
+            settle()
+            held = 0
+    settle()
+    return kept, np.flatnonzero(doubtful)
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` have the similarity to ``one``; all are sorted and distinct."""
+    size = np.fromiter(map(len, others), np.int64, len(others))
+    fit = np.flatnonzero((size > 0) & (np.minimum(size, len(one)) + 1e-9 >= similarity * np.maximum(size, len(one))))
+    if not len(fit):
+        return fit
+    every = np.concatenate([others[i] for i in fit])
+    common = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(common, np.r_[0, np.cumsum(size[fit])[:-1]], dtype=np.int64)
+    return fit[both + 1e-9 >= similarity * (len(one) + size[fit] - both)]
+
+
+def verified(left: np.ndarray, right: np.ndarray | None, sets: list[np.ndarray], limits: Limits) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets have the similarity; sure pairs are known already."""
+    forest = Forest(len(sets))
+    for u, v, d in tile_pairs(left, right, limits.radius, limits.half):
+        near = d <= limits.sure
+        forest.join(u[near], v[near])
+        u, v = u[~near], v[~near]
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(u) != 0]) if len(u) else []
+        for a, b in zip(cuts, [*cuts[1:], len(u)]):
+            one = u[a]
+            for k in range(a, b, BATCH):
+                some = v[k : min(b, k + BATCH)]
+                some = some[forest.up[some] != forest.up[one]]
+                if len(some):
+                    good = some[alike(sets[one], [sets[i] for i in some], limits.similarity)]
+                    yield from forest.join(np.full(len(good), one), good)
+
+
+def chunk_pairs(classes: DataFrame, words: int, reach: int, ratio: float = 1.0) -> tuple[DataFrame, set[int]] | None:
+    """(pair, side, node, f0, ...): every chunk for every pair that it is in, and which pairs are one chunk alone.
 
     Only strips that are at most ``reach`` apart can hold links.
     """
     spark = classes.sparkSession
     sizes = {r.strip: r.n for r in classes.groupBy("strip").agg(F.count("*").alias("n")).collect()}  # 65 rows, or the logarithm of the longest text
     chunk = max(TILE, int(CHUNK * sum(sizes.values()) ** 0.5))
-    chunks = {p: -(-n // chunk) for p, n in sizes.items()}
+    # strips of several words are lengths: a set of strip p has up to ratio ** (p + 1) hashes
+    chunks = {p: -(-n // (chunk if words == 1 else max(8, min(chunk, int(SETS / 8 / ratio ** (p + 1)))))) for p, n in sizes.items()}
     pairs, part_of = [], {}
     for p in sorted(chunks):
         for q in range(p, p + reach + 1):
@@ -200,23 +308,77 @@ def near_links(classes: DataFrame, words: int, radius: int, reach: int) -> DataF
                     if (q, j) != (p, i):
                         part_of.setdefault((q, j), []).append((n, 1))
     if not pairs:
-        return spark.createDataFrame([], "u long, v long")
+        return None
     plan = spark.createDataFrame([(p, c, n, side) for (p, c), uses in part_of.items() for n, side in uses], "strip int, chunk int, pair int, side int")
     of = F.create_map(*[F.lit(x) for p, c in chunks.items() for x in (p, c)])
     rows = classes.withColumn("chunk", F.pmod(F.xxhash64(*names(words)), of[F.col("strip")].cast("long")).cast("int"))
     dealt = rows.join(F.broadcast(plan), ["strip", "chunk"]).select("pair", "side", "node", *names(words))  # plan: a few rows for each chunk pair
-    alone = {n for n, (p, i, q, j) in enumerate(pairs) if (p, i) == (q, j)}
+    return dealt, {n for n, (p, i, q, j) in enumerate(pairs) if (p, i) == (q, j)}
+
+
+def sides(frame: pd.DataFrame, words: int, alone: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Fingerprints of a chunk pair's left and right side, and the places of their rows, left before right."""
+    f = np.stack([frame[k].to_numpy().view(np.uint64) for k in names(words)], axis=1)
+    side = frame["side"].to_numpy()
+    at = np.argsort(side, kind="stable")
+    return f[side == 0], None if alone else f[side == 1], at
+
+
+def near_links(classes: DataFrame, words: int, radius: int, reach: int) -> DataFrame:
+    """(u, v): a spanning forest, chunk pair by chunk pair, of all links between the ``node`` of ``classes``."""
+    dealt = chunk_pairs(classes, words, reach)
+    if dealt is None:
+        return classes.sparkSession.createDataFrame([], "u long, v long")
+    rows, alone = dealt
 
     def compare(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
-        f = np.stack([frame[k].to_numpy().view(np.uint64) for k in names(words)], axis=1)
-        side, node = frame["side"].to_numpy(), frame["node"].to_numpy()
-        left, right = f[side == 0], None if key[0] in alone else f[side == 1]
+        left, right, at = sides(frame, words, key[0] in alone)
         found = list(links(left, right, radius)) if len(left) and (right is None or len(right)) else []
         u, v = np.array(found, np.int64).reshape(-1, 2).T
-        node = np.concatenate([node[side == 0], node[side == 1]])
+        node = frame["node"].to_numpy()[at]
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
-    return dealt.groupBy("pair").applyInPandas(compare, "u long, v long")
+    return rows.groupBy("pair").applyInPandas(compare, "u long, v long")
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, width: int, limits: Limits) -> DataFrame:
+    """(u, v): a spanning forest, chunk pair by chunk pair, of the ``node`` whose shingle sets have the similarity.
+
+    Fingerprints settle most pairs; rows of the others come again with their
+    sets, which are made for these rows only.
+    """
+    words = limits.words
+    dealt = chunk_pairs(classes, words, 1, 1 / limits.similarity)
+    if dealt is None:
+        return classes.sparkSession.createDataFrame([], "u long, v long")
+    rows, alone = dealt
+
+    def settle(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
+        left, right, at = sides(frame, words, key[0] in alone)
+        kept, doubtful = sort_out(left, right, limits) if len(left) and (right is None or len(right)) else ([], np.zeros(0, np.int64))
+        u, v = np.array(kept, np.int64).reshape(-1, 2).T
+        node, side = frame["node"].to_numpy()[at], frame["side"].to_numpy()[at]
+        parts = {"side": (np.full(len(u), -1), side[doubtful]), "u": (node[u], node[doubtful]), "v": (node[v], node[doubtful])}
+        return pd.DataFrame({"pair": key[0]} | {k: np.concatenate(x) for k, x in parts.items()})
+
+    settled = cut_lineage(rows.groupBy("pair").applyInPandas(settle, "pair long, side int, u long, v long"))
+    again = settled.filter("side >= 0").select("pair", "side", F.col("u").alias("node"))
+    needed = cut_lineage(classes.join(again.select("node").distinct(), "node").select("node", *names(words), F.col("row").alias("of")))
+    few = needed.select("node", "of")
+    few = F.broadcast(few) if needed.count() <= LISTED else few
+    texts = docs.select(row_key().alias("row"), "text").join(few, F.col("row") == F.col("of")).select("node", "text").dropDuplicates(["node"])
+    sets = map_text(texts, lambda nodes, found: {"node": nodes, "hashes": [np.unique(shingle_hashes(t, width)).tobytes() for t in found]}, "node long, hashes binary", "node", "text")
+
+    def verify(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
+        left, right, at = sides(frame, words, key[0] in alone)
+        hashes = [np.frombuffer(x, np.uint64) for x in frame["hashes"].to_numpy()[at]]
+        found = list(verified(left, right, hashes, limits)) if len(left) and (right is None or len(right)) else []
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        node = frame["node"].to_numpy()[at]
+        return pd.DataFrame({"u": node[u], "v": node[v]})
+
+    found = again.join(needed.select("node", *names(words)).join(sets, "node"), "node").groupBy("pair").applyInPandas(verify, "u long, v long")
+    return settled.filter("side < 0").select("u", "v").union(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,12 +403,12 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(prints: DataFrame, words: int, radius: int, strip: Column, reach: int) -> DataFrame:
+def grouped(prints: DataFrame, words: int, strip: Column, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``prints`` with root and component_id: the smallest id that links lead to, or null if all ids there are null."""
     prints = cut_lineage(prints.withColumn("strip", strip.cast("int")))
     key = [*names(words), "strip"]
-    classes = cut_lineage(prints.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    linked = components(near_links(classes, words, radius, reach)).withColumnRenamed("node", "member")
+    classes = cut_lineage(prints.groupBy(*key).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    linked = components(link(classes)).withColumnRenamed("node", "member")
     roots = classes.join(linked, classes.node == linked.member, "left").select(*key, "least", F.coalesce("root", "node").alias("root"))
     of_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     label = roots.join(of_root, "root").select(*key, "root", "component_id")
@@ -256,26 +418,22 @@ def grouped(prints: DataFrame, words: int, radius: int, strip: Column, reach: in
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): links are fingerprints of one word within ``radius`` bits."""
-    found = grouped(fingerprints(docs, width), 1, radius, F.bit_count("f0"), radius)
+    found = grouped(fingerprints(docs, width), 1, F.bit_count("f0"), lambda classes: near_links(classes, 1, radius, radius))
     return found.select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-def similar_radius(similarity: float, words: int) -> int:
-    """Bits that differ, at the mean and one deviation, between texts whose shingle sets have this similarity."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
-
-
 def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest id (null ids come last).
 
-    Fingerprints of several words tell similarities apart that one word can't;
-    only texts whose numbers of distinct shingles are within ``similarity`` of
-    each other are compared, by strips of that ratio.
+    Links are texts whose sets of shingles have the similarity.  Only texts
+    whose numbers of distinct shingles allow it are compared, by strips of that
+    ratio; fingerprints of several words choose pairs, and pairs near the limit
+    are verified by their sets.
     """
+    limits = Limits(similarity, words)
     n = F.greatest("n", F.lit(1)).cast("double")
     strip = F.floor(F.log(n) / F.lit(-math.log(similarity)) + 1e-9)
-    found = grouped(fingerprints(docs, width, words, row_key()), words, similar_radius(similarity, words), strip, 1)
+    found = grouped(fingerprints(docs, width, words, row_key()), words, strip, lambda classes: similar_links(classes, docs, width, limits))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     chosen = found.groupBy("root").agg(least.alias("m")).select(F.col("m.row").alias("__row"))
     docs_key = docs.withColumn("__row", row_key())

@@ -372,6 +372,28 @@ def test_simhash_against_brute_force(spark, small, texts):
     assert wide == brute_components(want, 14)
 
 
+def test_near_copies_are_those_of_the_similarity(spark):
+    """One of each component of texts whose shingle sets have a similarity of 0.8, against all pairs; edits on both sides of the limit."""
+    from loomspark.llm.simhash import first_of_each
+
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{g}_{i}" for i in range(rng.choice([12, 60, 300]))]
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.08):
+            own = [w if rng.random() >= share else f"x{rng.random()}" for w in base]
+            rows.append((len(rows), " ".join(own), "a"))
+        rows += [(len(rows), " ".join(["same line over and over again"] * 40 + base[:9]), "a")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    assert {r.doc_id for r in first_of_each(docs(spark, rows)).collect()} == set(up)
+
+
 def test_near_copies_go(spark, texts, odd):
     from loomspark.llm.simhash import first_of_each
 
