@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -103,8 +105,14 @@ def scan(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple
     text = text or ""
     candidates = list(CANDIDATE.finditer(text))
     base = base_spans(text, candidates)
-    flat = [s for spans in base.values() for s in spans]
-    return base, [(a, b) for a, b in entropy_spans(text, candidates) if not any(x <= a and b <= y for x, y in flat)]
+    flat = sorted(s for spans in base.values() for s in spans)
+    starts, furthest = [a for a, _ in flat], list(accumulate((b for _, b in flat), max))
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_right(starts, a)
+        return k > 0 and furthest[k - 1] >= b
+
+    return base, [s for s in entropy_spans(text, candidates) if not covered(*s)]
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
