@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-# fixed values: the base patterns, with possessive repeats and anchors that keep a search linear and change no match
+# fixed values: the base patterns, with possessive repeats and anchors that keep a search linear and change no kept match
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[ -]?+[0-9])++"
+# 13 digits at least: a shorter run of digits holds no card, so the first 13 that are found begin where the run begins
+CARD = r"[0-9](?:[ -]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 TERM = r"\p{L}{4,}"
