@@ -11,9 +11,8 @@ the item is at most (1 - similarity) * n words.
   bit that depends on step and word; 3 n steps map edit distance to Hamming
   distance.
 * Bit sampling: a table is a walk with some sampled steps; windows and items
-  that agree there, and in length, are candidates.  The number of tables
-  follows from the target recall and the collision rate, which is measured on
-  items that are edited up to the limit.
+  that agree there, and in length, are candidates.  Tables are added until
+  the target recall is measured on items that are edited up to the limit.
 * Every candidate is verified by the exact edit distance.
 
 Items go through in blocks of bounded size, each against all documents.
@@ -26,7 +25,6 @@ ignored.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -42,7 +40,11 @@ WORD = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, distance int, similarity double, start long, end long"
 #: Characters of items in a block, which is broadcast.
 BLOCK = 8_000_000
-SAMPLED, PER_WALK, MOST_TABLES = 2, 3, 96
+#: Windows that are embedded at once.
+WINDOWS = 50_000
+SAMPLED, PER_WALK = 2, 3
+#: Edited items that recall is measured on, and the most walks that are made for it.
+EDITED, MOST_WALKS = 256, 200
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,10 +170,10 @@ class Items:
         return h
 
     def needed(self, recall: float) -> int:
-        """Tables for the target recall, from how often items edited up to the limit collide in one table."""
+        """Tables that find items edited up to the limit: those missed are at most half of what the target recall allows."""
         rng = np.random.default_rng(self.seed)
-        pairs = []
-        for i in rng.permutation(len(self.words))[:64]:
+        which, edited = [], []
+        for i in rng.permutation(np.tile(np.arange(len(self.words)), -(-EDITED // max(1, len(self.words)))))[:EDITED].tolist():
             w = self.words[i].tolist()
             for _ in range(int(self.limit[i])):
                 at, what = int(rng.integers(0, max(1, len(w)))), rng.integers(0, 3)
@@ -181,14 +183,18 @@ class Items:
                     del w[at]
                 else:
                     w.insert(at, int(rng.integers(0, max(2, len(self.number)))))
-            pairs.append((i, np.array(w[: self.size[i]], np.int32)))
-        if not pairs:
+            which.append(i)
+            edited.append(np.array(w[: self.size[i]], np.int32))
+        if not which:
             return 1
-        which = np.array([i for i, _ in pairs])
-        rows = self.padded([w for _, w in pairs])
-        same = [np.mean(self.keys(self.rows[which], self.size[which], t) == self.keys(rows, self.size[which], t)) for t in range(4 * PER_WALK)]
-        rate = min(0.999, max(0.02, float(np.mean(same))))
-        return min(MOST_TABLES, max(PER_WALK, math.ceil(math.log(1 - recall) / math.log(1 - rate))))
+        rows, n = self.padded(edited), self.size[which]
+        found = np.zeros(len(which), bool)
+        one, two = ({"size": (r >= 0).sum(axis=1)} for r in (self.rows[which], rows))
+        for t in range(MOST_WALKS * PER_WALK):
+            found |= self.keys(self.rows[which], n, t, one) == self.keys(rows, n, t, two)
+            if (t + 1) % PER_WALK == 0 and 1 - found.mean() <= (1 - recall) / 2:
+                break
+        return t + 1
 
     def windows(self, w: np.ndarray) -> set[tuple[int, int]]:
         """(start, length) of windows of a text that share a run with an item of that length."""
@@ -234,6 +240,14 @@ class Items:
 def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, start, end) in code points: the nearest window of each item in each text."""
     windows, lengths = [], []
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def settle():
+        for i, j, d, s in items.match(windows, np.array(lengths, np.int64)) if windows else ():
+            best[i, j] = min(best.get((i, j), (d, s)), (d, s))
+        windows.clear()
+        lengths.clear()
+
     get = items.number.get
     for i, text in enumerate(texts):
         found = WORD.findall(text.lower())
@@ -241,11 +255,9 @@ def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]
         for s, n in items.windows(w):
             windows.append((i, s, w[s : s + n]))
             lengths.append(n)
-    if not windows:
-        return []
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for i, j, d, s in items.match(windows, np.array(lengths, np.int64)):
-        best[i, j] = min(best.get((i, j), (d, s)), (d, s))
+            if len(windows) == WINDOWS:
+                settle()
+    settle()
     out = []
     places: dict[int, list] = {}
     for (i, j), (d, s) in sorted(best.items()):
