@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ WAITING, BATCH, LISTED = 2_000_000, 64, 100_000
 #: Rows of a tile, and tiles that are compared with a tile at once.
 TILE, AT_ONCE = 256, 16
 FIRST = np.uint64(0xFFFF)
+#: Chance to miss a pair of the similarity, or to take one below it, by bits alone; set sizes up to which the chance of a bit is counted out.
+LOSS, COUNTED = 1e-6, 128
 
 
 def stirred(h: np.ndarray, word: int) -> np.ndarray:
@@ -202,32 +205,90 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[t
         yield from forest.join(u, v)
 
 
+@lru_cache(200_000)
+def bit_chance(common: int, one: int, other: int) -> float:
+    """Chance that a bit differs between two sets with so many common shingles and so many of their own; a tie is 0."""
+
+    def binomial(n):
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def is_one(own):  # by the number of ones among the common shingles
+        above = np.r_[np.cumsum(binomial(own)[::-1])[::-1], 0.0]
+        least = (common + own) // 2 + 1 - np.arange(common + 1)
+        return above[np.clip(least, 0, own + 1)]
+
+    a, b = is_one(one), is_one(other)
+    return float(binomial(common) @ (a * (1 - b) + b * (1 - a)))
+
+
+def most_bits(bits: int, chance: float) -> int:
+    """The least number that is exceeded with a chance of LOSS at most, if each of ``bits`` differs with ``chance``."""
+    left, k = 1.0, -1
+    while left > LOSS:
+        k += 1
+        left -= math.comb(bits, k) * chance**k * (1 - chance) ** (bits - k)
+    return k
+
+
+def least_bits(bits: int, chance: float) -> int:
+    """The largest number that is reached or fallen short of with a chance of LOSS at most, or -1."""
+    held, k = 0.0, -1
+    while k < bits:
+        held += math.comb(bits, k + 1) * chance ** (k + 1) * (1 - chance) ** (bits - k - 1)
+        if held > LOSS:
+            break
+        k += 1
+    return k
+
+
 @dataclass(frozen=True)
 class Limits:
-    """Bits between texts of a similarity: all are within ``radius`` and ``half`` (of two words), and within ``sure`` none is below it.
+    """Bits between texts of a similarity whose smaller set lies in ``strip``.
 
-    A bit differs with chance acos(2 s / (1 + s)) / pi; ``radius`` and ``sure``
-    are 3 and 3.5 standard deviations from the mean, ``half`` is 5.
+    All are within ``radius`` and ``half`` (of two words), and within ``sure``
+    none is below the similarity, but for a chance of LOSS each.  The chance of
+    a bit is exact for each pair of set sizes (ties make it larger for small
+    sets); it falls with size, so sets beyond COUNTED take that of sizes just
+    under it.
     """
 
     similarity: float
     words: int
+    strip: int = 0
 
-    def at(self, bits: int, deviations: float) -> int:
-        share = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
-        return max(0, int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5))
+    def chances(self) -> tuple[float, float]:
+        """The largest at or above the similarity, and the least below it."""
+        return strip_chances(self.similarity, self.strip)
 
-    @property
+    @cached_property
     def radius(self) -> int:
-        return self.at(64 * self.words, 3)
+        return most_bits(64 * self.words, self.chances()[0])
 
-    @property
+    @cached_property
     def half(self) -> int:
-        return self.at(128, 5)
+        return most_bits(128, self.chances()[0])
 
-    @property
+    @cached_property
     def sure(self) -> int:
-        return self.at(64 * self.words, -3.5)
+        return least_bits(64 * self.words, self.chances()[1])
+
+
+@lru_cache(1000)
+def strip_chances(similarity: float, strip: int) -> tuple[float, float]:
+    low, high = (math.ceil(similarity**-k - 1e-6) for k in (strip, strip + 1))
+    if high > COUNTED:
+        low, high = int(COUNTED * similarity), COUNTED
+    most, least = 0.0, 1.0
+    for m in range(max(1, low), max(low + 1, high)):
+        for n in range(m, int(m / similarity + 1e-9) + 1):
+            common = math.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
+            if common <= m:
+                most = max(most, bit_chance(common, m - common, n - common))
+            least = min(least, bit_chance(min(common - 1, m), m - min(common - 1, m), n - min(common - 1, m)))
+        # sets whose sizes alone keep them below the similarity, up to the next strip's end
+        for n in range(int(m / similarity + 1e-9) + 1, math.ceil(m / similarity**2) + 2):
+            least = min(least, bit_chance(m, 0, n - m))
+    return most, least
 
 
 def sort_out(left: np.ndarray, right: np.ndarray | None, limits: Limits) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -287,8 +348,8 @@ def verified(left: np.ndarray, right: np.ndarray | None, sets: list[np.ndarray],
                     yield from forest.join(np.full(len(good), one), good)
 
 
-def chunk_pairs(classes: DataFrame, words: int, reach: int, ratio: float = 1.0) -> tuple[DataFrame, set[int]] | None:
-    """(pair, side, node, f0, ...): every chunk for every pair that it is in, and which pairs are one chunk alone.
+def chunk_pairs(classes: DataFrame, words: int, reach: int, ratio: float = 1.0) -> tuple[DataFrame, set[int], list[int]] | None:
+    """(pair, side, node, f0, ...): every chunk for every pair that it is in, which pairs are one chunk alone, and each pair's lower strip.
 
     Only strips that are at most ``reach`` apart can hold links.
     """
@@ -313,7 +374,7 @@ def chunk_pairs(classes: DataFrame, words: int, reach: int, ratio: float = 1.0)
     of = F.create_map(*[F.lit(x) for p, c in chunks.items() for x in (p, c)])
     rows = classes.withColumn("chunk", F.pmod(F.xxhash64(*names(words)), of[F.col("strip")].cast("long")).cast("int"))
     dealt = rows.join(F.broadcast(plan), ["strip", "chunk"]).select("pair", "side", "node", *names(words))  # plan: a few rows for each chunk pair
-    return dealt, {n for n, (p, i, q, j) in enumerate(pairs) if (p, i) == (q, j)}
+    return dealt, {n for n, (p, i, q, j) in enumerate(pairs) if (p, i) == (q, j)}, [p for p, *_ in pairs]
 
 
 def sides(frame: pd.DataFrame, words: int, alone: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -329,7 +390,7 @@ def near_links(classes: DataFrame, words: int, radius: int, reach: int) -> DataF
     dealt = chunk_pairs(classes, words, reach)
     if dealt is None:
         return classes.sparkSession.createDataFrame([], "u long, v long")
-    rows, alone = dealt
+    rows, alone, _ = dealt
 
     def compare(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
         left, right, at = sides(frame, words, key[0] in alone)
@@ -351,11 +412,11 @@ def similar_links(classes: DataFrame, docs: DataFrame, width: int, limits: Limit
     dealt = chunk_pairs(classes, words, 1, 1 / limits.similarity)
     if dealt is None:
         return classes.sparkSession.createDataFrame([], "u long, v long")
-    rows, alone = dealt
+    rows, alone, lower = dealt
 
     def settle(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
         left, right, at = sides(frame, words, key[0] in alone)
-        kept, doubtful = sort_out(left, right, limits) if len(left) and (right is None or len(right)) else ([], np.zeros(0, np.int64))
+        kept, doubtful = sort_out(left, right, replace(limits, strip=lower[key[0]])) if len(left) and (right is None or len(right)) else ([], np.zeros(0, np.int64))
         u, v = np.array(kept, np.int64).reshape(-1, 2).T
         node, side = frame["node"].to_numpy()[at], frame["side"].to_numpy()[at]
         parts = {"side": (np.full(len(u), -1), side[doubtful]), "u": (node[u], node[doubtful]), "v": (node[v], node[doubtful])}
@@ -372,7 +433,7 @@ def similar_links(classes: DataFrame, docs: DataFrame, width: int, limits: Limit
     def verify(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
         left, right, at = sides(frame, words, key[0] in alone)
         hashes = [np.frombuffer(x, np.uint64) for x in frame["hashes"].to_numpy()[at]]
-        found = list(verified(left, right, hashes, limits)) if len(left) and (right is None or len(right)) else []
+        found = list(verified(left, right, hashes, replace(limits, strip=lower[key[0]]))) if len(left) and (right is None or len(right)) else []
         u, v = np.array(found, np.int64).reshape(-1, 2).T
         node = frame["node"].to_numpy()[at]
         return pd.DataFrame({"u": node[u], "v": node[v]})

@@ -394,6 +394,24 @@ def test_near_copies_are_those_of_the_similarity(spark):
     assert {r.doc_id for r in first_of_each(docs(spark, rows)).collect()} == set(up)
 
 
+def test_near_copies_of_few_shingles_are_all_found(spark):
+    """Pairs at a similarity of just 0.8: 4 against 5 shingles, 12 against 15, 14 against 13; ties make more bits differ there."""
+    from loomspark.llm.simhash import Limits, bit_chance, first_of_each
+
+    rows = []
+    for g in range(300):
+        w = [f"w{g}_{i}" for i in range(30)]
+        own = [" ".join(w[:8]), " ".join(w[:9])], [" ".join(w[:16]), " ".join(w[:19])], [" ".join(w[:18]), " ".join([*w[:16], "x"])]
+        rows += [(len(rows) + k, t, "a") for k, t in enumerate(own[g % 3])]
+    assert {r.doc_id for r in first_of_each(docs(spark, rows)).collect()} == set(range(0, 600, 2))
+    assert bit_chance(4, 0, 1) == 0.1875 and [Limits(0.8, 4, k).radius for k in (6, 30)] == [80, 69]
+    above = lambda bits, p, r: sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(r + 1, bits + 1))
+    for m, n in ((4, 5), (12, 15), (33, 30), (200, 250), (500, 520)):
+        common = math.ceil(0.8 * (m + n) / 1.8 - 1e-9)
+        chance, limits = bit_chance(common, m - common, n - common), Limits(0.8, 4, int(math.log(min(m, n)) / math.log(1.25)))
+        assert above(256, chance, limits.radius) + above(128, chance, limits.half) <= 2e-6
+
+
 def test_near_copies_go(spark, texts, odd):
     from loomspark.llm.simhash import first_of_each
 
