@@ -10,8 +10,11 @@ holding entity and term, and c(t,e) holding the term near the entity, the
 entity's information is log(N / c(e)), and the term's share of it is
 log(c(t,e) N / (c(t) c(e))) / log(N / c(e)).  A term seen near an entity in at
 least ``support`` documents discloses it if its share reaches the threshold.
-Such terms near such entities are spans too; cleaning puts a general name in
-place of an entity and of a term.
+Such terms near such entities are spans too (``find``, by the words within
+NEAR characters, as its SQL twin states).  ``clean`` counts terms and entities
+by document over whole texts, c(t,e) being the documents that hold both, and
+puts a general name in place of every entity, and of a disclosing term wherever
+it stands, in documents without the entity too.
 
 Statistics: document counts of all words of all documents, by aggregates with
 a map-side step; entities and pairs count once a document, so a hot entity is
@@ -38,16 +41,20 @@ CARD = r"[0-9](?:[ -]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 TERM = r"\p{L}{4,}"
+#: Terms of whole texts: words of 4 letters or more in lower case, and shorter ones that begin like a name, as they are written.
+NAME = r"\p{L}{4,}|(?<!\p{L})[\p{Lu}\p{Lt}\p{Lo}]\p{L}{0,2}(?!\p{L})"
 #: Characters around an entity whose words are held to be near it.
 NEAR = 80
 #: Documents in which a term must stand near an entity, and the share of the entity's information that it must give.
 SUPPORT, SHARE = 2, 0.8
+#: Bytes, of seven bits each, of the filter that tells most words that are no disclosing terms before they are shuffled.
+SIEVE = 1 << 16
 PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value), leftmost and without overlaps; code points, the end exclusive."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # a column stays one
     both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("value")))
     empty = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,value:string>>))")
 
@@ -90,7 +97,7 @@ def base_table(docs: DataFrame) -> DataFrame:
     def around(kind):
         def one(x):
             low = F.greatest(F.lit(0), x["start"] - NEAR)
-            entity = F.concat(F.lit(kind + ":"), F.lower(x["value"]) if kind == "email" else F.regexp_replace(x["value"], "[^0-9.]" if kind == "ip" else "[^0-9]", ""))
+            entity = entity_of(kind, x["value"])
             left = F.substring(F.col("text"), low + 1, x["start"] - low)
             right = F.substring(F.col("text"), x["end"] + 1, F.lit(NEAR))
             return F.array(F.struct(entity.alias("entity"), low.alias("at"), left.alias("said")), F.struct(entity.alias("entity"), x["end"].alias("at"), right.alias("said")))
@@ -148,26 +155,105 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(digest(KINDS[:4]), 256).alias("base_sha256"), digest(KINDS).alias("spans"))
 
 
-def clean(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """The documents with general names in place of personal data and of disclosing terms; all columns stay, ``n_chars`` is renewed."""
-    found = find(docs, support, share).filter(" or ".join(f"size({k}) > 0" for k in KINDS)).dropDuplicates(["doc_id", "h"])
-
-    def put(kind):
-        return F.transform(F.col(kind), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PUT[kind]).alias("put")))
-
-    marks = F.array_sort(F.concat(*[put(k) for k in KINDS]))
-    marks = found.select(F.col("doc_id").alias("__of"), F.col("h").alias("__h"), marks.alias("__marks"))
-    text = F.coalesce("text", F.lit(""))
+def rebuilt(text: Column, marks: Column, put) -> Column:
+    """The text with ``put(at, mark)`` for its sorted marks; ``at`` is where the marks before end."""
 
     def step(acc, x):
         gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
-        put = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, x["put"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), put.alias("out"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, put(acc["at"], x)).alias("out"))
+
+    built = F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(built["out"], F.substring(text, built["at"] + 1, F.length(text)))
+
+
+def entity_of(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(kind + ":"), F.lower(value) if kind == "email" else F.regexp_replace(value, "[^0-9.]" if kind == "ip" else "[^0-9]", ""))
+
+
+def term_of(word: Column) -> Column:
+    return F.when(F.length(word) >= 4, F.lower(word)).otherwise(word)
+
+
+def blanked(text: Column, marks: Column) -> Column:
+    """The text with spaces in place of its sorted marks; as long as before."""
+    return F.when(F.size(marks) > 0, rebuilt(text, marks, lambda at, x: F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - F.greatest(at, x["start"]))))).otherwise(text)
+
+
+def whole_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, email, ip, card, phone, entities, words): base spans, different entities, and different words outside of these spans as written."""
+    spans = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(base_spans(F.col("text")))
+    entities = F.array_distinct(F.concat(*[entities_of(k) for k in KINDS[:4]]))
+    marks = F.array_sort(F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS[:4]]))
+    words = F.array_distinct(F.regexp_extract_all(blanked(F.col("text"), marks), F.lit(NAME), F.lit(0)))
+    return spans.select("doc_id", F.md5("text").alias("h"), *KINDS[:4], entities.alias("entities"), words.alias("words"))
+
 
-    built = F.aggregate("__marks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    built = F.concat(built["out"], F.substring(text, built["at"] + 1, F.length(text)))
+def entities_of(kind: str) -> Column:
+    return F.transform(F.col(kind), lambda x: entity_of(kind, x["value"]))
+
+
+def disclosing_terms(base: DataFrame, n_docs: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """(term): terms that disclose an entity by the documents that hold both.
+
+    c(t,e) is c(e) at most, so a term in more than c(e) (N / c(e)) ** (1 - share)
+    documents cannot reach the share; only rarer ones are paired.
+    """
+    counts = base.select(F.explode(F.array_distinct(F.transform("words", term_of))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("h")).alias("key")
+    holding = base.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "h"]).select(key, "entities", "words")
+    mentions = holding.select("key", F.explode("entities").alias("entity"))
+    known = mentions.groupBy("entity").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support)
+    known = known.withColumn("most", F.col("ce") * F.pow(F.lit(float(n_docs)) / F.col("ce"), F.lit(1 - share)) * (1 + 1e-9))
+    mentions = cut_lineage(mentions.join(known, "entity"))
+    most = mentions.agg(F.max("most")).first()[0]
+    if most is None:
+        return counts.select("term").limit(0)
+    said = holding.join(mentions.select("key").distinct(), "key", "left_semi").select("key", F.explode(F.array_distinct(F.transform("words", term_of))).alias("term"))
+    rare = said.join(counts.filter(F.col("df") <= most), "term")
+    pairs = mentions.join(rare, "key").filter(F.col("df") <= F.col("most")).groupBy("entity", "term").agg(F.count("*").alias("cte"), F.min("ce").alias("ce"), F.min("df").alias("df"))
+    information = F.log(F.lit(float(n_docs)) / F.col("ce"))
+    given = F.log(F.col("cte") * F.lit(float(n_docs)) / (F.col("df") * F.col("ce")))
+    good = pairs.filter(F.col("cte") >= support).withColumn("share", F.when(information > 0, given / information)).filter(F.col("share") >= share)
+    return good.select("term").distinct()
+
+
+def sieve(good: DataFrame):
+    """A test of terms that all of ``good`` pass and few others; its bits, of a fixed size, go with the plan."""
+    bits = bytearray(SIEVE)
+    place = lambda term: F.pmod(F.xxhash64(term), F.lit(7 * SIEVE)).cast("int")
+    for r in good.select(place(F.col("term")).alias("at")).distinct().collect():  # 7 * SIEVE rows at most
+        bits[r.at // 7] |= 1 << r.at % 7
+    held = F.lit(bytes(bits))
+
+    def passes(term: Column) -> Column:
+        byte = F.ascii(F.substring(held, (place(term) / 7).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.getbit(byte, place(term) % 7) == 1
+
+    return passes
+
+
+def clean(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """The documents with general names in place of personal data and of disclosing terms; all columns stay, ``n_chars`` is renewed."""
+    base = cut_lineage(whole_table(docs))
+    good = cut_lineage(disclosing_terms(base, base.count(), support, share))
+    # the words of a text depend on it alone
+    passes = sieve(good)
+    terms = base.select(F.col("h").alias("oh"), F.explode(F.filter("words", lambda w: passes(term_of(w)))).alias("word")).withColumn("term", term_of(F.col("word"))).join(good, "term", "left_semi").groupBy("oh").agg(F.collect_set("word").alias("__terms"))
+    held = base.select("doc_id", "h", *KINDS[:4]).join(terms, F.col("h") == F.col("oh"), "left").drop("oh")
+    held = held.filter("__terms is not null or " + " or ".join(f"size({k}) > 0" for k in KINDS[:4])).dropDuplicates(["doc_id", "h"])
+    marks = held.withColumnsRenamed({"doc_id": "__of", "h": "__h"} | {k: f"__{k}" for k in KINDS[:4]})
+    text = F.coalesce("text", F.lit(""))
     joined = docs.join(marks, (F.md5(text) == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__of")), "left")
-    new = joined.withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(built))
+
+    def put(kind):
+        return F.transform(F.col(f"__{kind}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PUT[kind]).alias("put")))
+
+    found = F.array_sort(F.concat(*[put(k) for k in KINDS[:4]]))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))
+    named = F.transform(matches(blanked(text, found), pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PUT["term"]).alias("put")))
+    every = F.when(F.col("__terms").isNull(), found).otherwise(F.array_sort(F.concat(found, named)))
+    built = rebuilt(text, every, lambda at, x: F.when(x["start"] >= at, x["put"]).otherwise(F.lit("")))
+    new = joined.withColumn("text", F.when(F.col("__h").isNull(), F.col("text")).otherwise(built))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__marks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        new = new.withColumn("n_chars", F.when(F.col("__h").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return new.select(*docs.columns)

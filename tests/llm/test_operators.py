@@ -107,6 +107,20 @@ def test_pii_terms_disclose_and_are_generalised(spark):
     assert all(not r.term for r in find(docs(spark, rows)).collect() if r.doc_id < 1000)
 
 
+def test_pii_terms_go_from_whole_texts(spark):
+    """A term far from its entity, in a text without the entity, a short name, and words that a window would cut."""
+    from loomspark.llm.pii import clean
+
+    far = "common words with writing here " * 10
+    rows = [(i, f"filler{i} {far}", "a") for i in range(200)]
+    rows += [(1000 + i, f"{far}Zanzibarian Kim {far}jo.doe@example.com {far}ZANZIBARIAN {i}", "a") for i in range(3)]
+    rows += [(2000, f"{far}zanzibarian, Kim and kim; Zanzibarians", "a"), (2001, "example words", "a"), (2002, None, "a"), (2003, "", "a")]
+    out = {r.doc_id: r.text for r in clean(docs(spark, rows)).collect()}
+    assert all(out[1000 + i] == f"{far}[TERM] [TERM] {far}[EMAIL] {far}[TERM] {i}" for i in range(3))
+    assert out[2000] == f"{far}[TERM], [TERM] and kim; Zanzibarians" and out[2001] == "example words"
+    assert all(out[i] == rows[i][1] for i in range(200)) and out[2002] is None and out[2003] == ""
+
+
 def test_pii_odd_rows(spark, odd):
     from loomspark.llm.pii import clean, find
 
