@@ -11,8 +11,10 @@ the item is at most (1 - similarity) * n words.
   bit that depends on step and word; 3 n steps map edit distance to Hamming
   distance.
 * Bit sampling: a table is a walk with some sampled steps; windows and items
-  that agree there, and in length, are candidates.  Tables are added until
-  the target recall is measured on items that are edited up to the limit.
+  that agree there, and in length, are candidates.  Tables are added for each
+  class of lengths until the target recall is measured on items of the class
+  that are edited up to the limit.  A class that would need too many walks
+  has none: its windows are held against all items that they share a run with.
 * Every candidate is verified by the exact edit distance.
 
 Items go through in blocks of bounded size, each against all documents.
@@ -43,8 +45,10 @@ BLOCK = 8_000_000
 #: Windows that are embedded at once.
 WINDOWS = 50_000
 SAMPLED, PER_WALK = 2, 3
-#: Edited items that recall is measured on, and the most walks that are made for it.
+#: Edited items of a class of lengths that recall is measured on, and the most walks that are made for it.
 EDITED, MOST_WALKS = 256, 200
+#: Lengths of a class differ by less than this factor, and walks after which it is told whether MOST_WALKS can do.
+CLASS, TRIED = 1.1, 8
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +68,12 @@ def run_length(n: int, similarity: float) -> int:
     return max(1, min(4, -(-(n - k) // (k + 1))))
 
 
+def class_of(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Classes of lengths; items without any edits allowed, which every table finds, are class -1."""
+    free = np.floor((1 - similarity) * n + 1e-9) < 1
+    return np.where(free, -1, np.floor(np.log(np.maximum(n, 1)) / np.log(CLASS) + 1e-9)).astype(np.int64)
+
+
 def walk(rows: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """CGK embeddings, 3 * (row width) steps, of padded rows of word numbers."""
     m, width = rows.shape
@@ -99,7 +109,8 @@ def edit_distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray)
 class Items:
     """A block of items: word numbers, the runs that windows are found by, and the tables of sampled walks."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.99, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.99, seed: int = 11, tables: dict[int, int] | None = None):
+        """``tables``: those of each class of lengths where they are measured already."""
         self.similarity = similarity
         found = [(i, WORD.findall((t or "").lower())) for i, t in items]
         found = [(i, w) for i, w in found if w]
@@ -107,9 +118,7 @@ class Items:
         self.number: dict[str, int] = {}
         self.words = [np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int32) for _, w in found]
         self.size = np.array([len(w) for w in self.words], np.int64)
-        self.width = int(self.size.max(initial=1))
         self.limit = np.array([limit_of(n, similarity) for n in self.size], np.int64)
-        self.rows = self.padded(self.words)
         runs = [(run_length(len(w), similarity), i, w) for i, w in enumerate(self.words)]
         self.runs = {}
         for q in sorted({q for q, _, _ in runs}):
@@ -124,15 +133,24 @@ class Items:
             order = np.argsort(keys, kind="stable")
             self.runs[q] = keys[order], item[order], off[order]
         self.seed = seed
-        self.tables = self.needed(recall)
-        self.index = []
-        for t in range(self.tables):
-            key = self.keys(self.rows, self.size, t)
-            order = np.argsort(key, kind="stable")
-            self.index.append((key[order], order))
-
-    def padded(self, words: list[np.ndarray]) -> np.ndarray:
-        out = np.full((len(words), self.width), -1, np.int32)
+        classes = class_of(self.size, similarity)
+        self.members = {int(c): np.flatnonzero(classes == c) for c in np.unique(classes)}
+        self.tables = {c: self.needed(m, recall) for c, m in self.members.items()} if tables is None else tables
+        self.index = {c: [] for c in self.members}
+        for c, members in self.members.items():
+            rows, walked = self.rows_of(members), {"size": self.size[members]}
+            for t in range(self.tables[c]):
+                key = self.keys(rows, self.size[members], t, walked)
+                order = np.argsort(key, kind="stable")
+                self.index[c].append((key[order], members[order]))
+
+    def rows_of(self, some: np.ndarray) -> np.ndarray:
+        """Padded rows of some items, as wide as the longest of them."""
+        return self.padded([self.words[i] for i in some], int(self.size[some].max(initial=1)))
+
+    @staticmethod
+    def padded(words: list[np.ndarray], width: int) -> np.ndarray:
+        out = np.full((len(words), width), -1, np.int32)
         for r, w in enumerate(words):
             out[r, : len(w)] = w
         return out
@@ -169,11 +187,11 @@ class Items:
             h = mixed(h + picked[:, k].astype(np.int64).view(np.uint64) * GOLD + np.uint64(k))
         return h
 
-    def needed(self, recall: float) -> int:
-        """Tables that find items edited up to the limit: those missed are at most half of what the target recall allows."""
-        rng = np.random.default_rng(self.seed)
+    def needed(self, members: np.ndarray, recall: float) -> int:
+        """Tables that find items of a class edited up to the limit: those missed are at most half of what the target recall allows; 0 if MOST_WALKS do not."""
+        rng = np.random.default_rng((self.seed, len(members), int(self.size[members].min())))
         which, edited = [], []
-        for i in rng.permutation(np.tile(np.arange(len(self.words)), -(-EDITED // max(1, len(self.words)))))[:EDITED].tolist():
+        for i in rng.permutation(np.tile(members, -(-EDITED // len(members))))[:EDITED].tolist():
             w = self.words[i].tolist()
             for _ in range(int(self.limit[i])):
                 at, what = int(rng.integers(0, max(1, len(w)))), rng.integers(0, 3)
@@ -185,16 +203,21 @@ class Items:
                     w.insert(at, int(rng.integers(0, max(2, len(self.number)))))
             which.append(i)
             edited.append(np.array(w[: self.size[i]], np.int32))
-        if not which:
-            return 1
-        rows, n = self.padded(edited), self.size[which]
+        own, n = self.rows_of(np.array(which)), self.size[which]
+        rows = self.padded(edited, own.shape[1])
         found = np.zeros(len(which), bool)
-        one, two = ({"size": (r >= 0).sum(axis=1)} for r in (self.rows[which], rows))
+        one, two = ({"size": (r >= 0).sum(axis=1)} for r in (own, rows))
         for t in range(MOST_WALKS * PER_WALK):
-            found |= self.keys(self.rows[which], n, t, one) == self.keys(rows, n, t, two)
-            if (t + 1) % PER_WALK == 0 and 1 - found.mean() <= (1 - recall) / 2:
-                break
-        return t + 1
+            found |= self.keys(own, n, t, one) == self.keys(rows, n, t, two)
+            if (t + 1) % PER_WALK == 0:
+                one, two = {"size": one["size"]}, {"size": two["size"]}  # a walk's tables follow one another
+                missed, walks = 1 - found.mean(), (t + 1) // PER_WALK
+                if missed <= (1 - recall) / 2:
+                    return t + 1
+                # misses fall by no more than the same share with each further walk
+                if walks == TRIED and missed ** (MOST_WALKS / TRIED) > (1 - recall) / 2:
+                    break
+        return 0
 
     def windows(self, w: np.ndarray) -> set[tuple[int, int]]:
         """(start, length) of windows of a text that share a run with an item of that length."""
@@ -215,25 +238,43 @@ class Items:
             grown.update((s, n) for s in range(max(0, first - slack), min(len(w) - 1, first + slack) + 1))
         return grown
 
+    def sharing(self, w: np.ndarray, n: int) -> set[int]:
+        """Items of n words that share a run with a window: all that it can match are among them."""
+        keys, item, _ = self.runs[q := run_length(n, self.similarity)]
+        h = self.run_keys(w, q)
+        h = np.unique(h[h != 0])
+        spans = zip(np.searchsorted(keys, h, "left").tolist(), np.searchsorted(keys, h, "right").tolist())
+        return {int(j) for a, b in spans for j in item[a:b] if self.size[j] == n}
+
     def match(self, windows: list[tuple[int, int, np.ndarray]], n: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, start) of the verified windows (text, start, words), n: the item length of each."""
-        rows = self.padded([w for _, _, w in windows])
         size = np.array([len(w) for _, _, w in windows], np.int64)
-        walked: dict = {"size": size}
-        pairs = set()
-        for t, (keys, order) in enumerate(self.index):
-            h = self.keys(rows, n, t, walked)
-            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            for i in np.flatnonzero(high > low).tolist():
-                pairs.update((i, int(x)) for x in order[low[i] : high[i]])
+        classes = class_of(n, self.similarity)
         found = []
-        pairs_left = sorted(p for p in pairs if self.size[p[1]] == n[p[0]])
-        for k in range(0, len(pairs_left), 8192):
-            left, right = np.array(pairs_left[k : k + 8192]).T
-            distance = edit_distances(rows[left], size[left], self.rows[right], self.size[right])
-            for i, j, d in zip(left.tolist(), right.tolist(), distance.tolist()):
-                if d <= self.limit[j]:
-                    found.append((windows[i][0], j, d, windows[i][1]))
+        for c in np.unique(classes).tolist():
+            of = np.flatnonzero(classes == c)
+            rows = self.padded([windows[i][2] for i in of], int(n[of].max()))
+            pairs = set()
+            walked: dict = {"size": size[of]}
+            for t, (keys, order) in enumerate(self.index[c]):
+                if t % PER_WALK == 0:
+                    walked = {"size": size[of]}  # a walk's tables follow one another
+                h = self.keys(rows, n[of], t, walked)
+                low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+                for i in np.flatnonzero(high > low).tolist():
+                    pairs.update((i, int(x)) for x in order[low[i] : high[i]])
+            if not self.tables[c]:
+                for i, k in enumerate(of.tolist()):
+                    pairs.update((i, j) for j in self.sharing(windows[k][2], int(n[k])))
+            own = n[of]
+            pairs_left = sorted(p for p in pairs if self.size[p[1]] == own[p[0]])
+            step = max(1, 8192 * 64 // max(64, rows.shape[1]))
+            for k in range(0, len(pairs_left), step):
+                left, right = np.array(pairs_left[k : k + step]).T
+                distance = edit_distances(rows[left], size[of][left], self.rows_of(right), self.size[right])
+                for i, j, d in zip(of[left].tolist(), right.tolist(), distance.tolist()):
+                    if d <= self.limit[j]:
+                        found.append((windows[i][0], j, d, windows[i][1]))
         return found
 
 
@@ -269,23 +310,24 @@ def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def item_blocks(benchmark: DataFrame):
-    """Broadcast blocks of items, each of about BLOCK characters."""
+def item_blocks(benchmark: DataFrame, similarity: float, recall: float):
+    """Broadcast blocks of items, each of about BLOCK characters, with the tables measured for each class of lengths."""
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = size // BLOCK + 1
     for b in range(blocks):
         some = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in some])
+        items = [(r.item_id, r.text) for r in some]
+        yield benchmark.sparkSession.sparkContext.broadcast((items, Items(items, similarity, recall).tables))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs`` without any item, with all their columns."""
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, similarity, recall):
         state: dict[str, Items] = {}
 
         def test(texts, block=block, state=state):
             if "items" not in state:
-                state["items"] = Items(block.value, similarity, recall)
+                state["items"] = Items(block.value[0], similarity, recall, tables=block.value[1])
             items = state["items"]
             leaking = {i for i, *_ in scan(items, [t or "" for t in texts])} if items.ids else set()
             return [i not in leaking for i in range(len(texts))]
@@ -298,10 +340,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     """(doc_id, item_id, distance, similarity, start, end): contaminated documents only, each with each of its items once."""
     arrow = to_arrow_schema(StructType.fromDDL(LEAK))
     out = None
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, similarity, recall):
 
         def run(batches, block=block):
-            items = Items(block.value, similarity, recall)
+            items = Items(block.value[0], similarity, recall, tables=block.value[1])
             if not items.ids:
                 return
             for piece in pieces(batches, "text", most=8 << 20):

@@ -214,6 +214,29 @@ def test_leaks_are_found_up_to_the_limit(spark, small, texts):
         assert edit(a, b) <= 0.2 * len(b) and r.distance <= 0.2 * len(b)
 
 
+@pytest.mark.parametrize("walks", [200, 1])  # 1: the classes that need more are checked exactly
+def test_long_items_among_short_ones_are_found(monkeypatch, walks):
+    from loomspark.llm import decontam
+
+    monkeypatch.setattr(decontam, "MOST_WALKS", walks)
+    rng = random.Random(9)
+    bench = [(i, " ".join(f"s{i}_{k}" for k in range(1 + i % 4))) for i in range(6000)]
+    bench += [(10_000 + i, " ".join(f"l{i}_{k}" for k in range(n))) for i, n in enumerate([10, 40, 59, 150] * 5)]
+    items = decontam.Items(bench)
+    texts, want = [], set()
+    for i, text in bench[6000:]:
+        for _ in range(10):
+            w = text.split()
+            for _ in range(decontam.limit_of(len(w), 0.8)):  # replaced or left out: the nearest window is within the limit
+                w[rng.randrange(len(w))] = f"x{rng.random()}".replace(".", "")
+            want.add((len(texts), i))
+            texts.append("before this " + " ".join(w) + " and after that")
+    found = {(i, items.ids[j]) for i, j, *_ in decontam.scan(items, texts)}
+    for n in (10, 40, 59, 150):
+        own = {(k, i) for k, i in want if len(bench[6000 + i - 10_000][1].split()) == n}
+        assert len(own & found) >= (0.97 if walks > 1 else 1) * len(own), n
+
+
 def test_exact_leaks_all_found(spark):
     from loomspark.llm.queries import op4_decontamination
 
