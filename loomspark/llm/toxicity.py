@@ -5,8 +5,10 @@
 2. Restoration: a token with digits or signs among letters, letters that are
    repeated three times or more, or letters that stand apart, becomes a
    lattice: each sign may be itself or a letter, a run may be one letter or
-   two, separators may vanish.  Viterbi decoding over the last three classes
-   finds the likeliest letters under channel and language model.  A token
+   two, separators may vanish or end a word.  Letters that stand apart are one
+   lattice from the first to the last, over any white space between them.
+   Viterbi decoding over the last three classes finds the likeliest letters
+   and words under channel and language model.  A token
    without any of these has one path only: itself.
 3. A lexicon of words and word beginnings is learned from a bounded sample of
    labelled documents by greedy cover: at each step the feature that explains
@@ -54,9 +56,11 @@ OTHER, ALPHABET = 27, 28  # 26: outside of words
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 SEPARATORS = ".-_*~'"
 AMBIGUOUS = re.compile(r"[^\W\d_][0-9@$!|+€£(]|[0-9@$!|+€£(][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_]", re.I)
-APART = re.compile(r"(?<!\S)(?:[\w@$!|+][ .\-_*~]){2,}[\w@$!|+](?!\w)")
+APART = re.compile(r"(?<!\S)(?:[\w@$!|+€£(](?:[.\-_*~]|\s+)){2,}[\w@$!|+€£(](?!\w)")
 EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 SWAP, DROP, KEEP = math.log(0.15), math.log(0.3), math.log(0.5)
+#: A sign that stays; a separator that ends a word: inside a token, a single one between letters apart, and wider white space between these.
+STAY, END, GAP, WIDE = math.log(0.05), math.log(0.3), math.log(0.1), math.log(0.5)
 
 
 def fold() -> np.ndarray:
@@ -113,8 +117,8 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """Options of each step: letters to put out and the channel's log probability."""
+    def lattice(self, token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
+        """Options of each step: letters to put out and the channel's log probability; ``apart``: single letters with separators."""
         steps, i = [], 0
         while i < len(token):
             c = token[i]
@@ -130,18 +134,23 @@ class Restorer:
             elif c in SIGNS:
                 letters = SIGNS[c]
                 for _ in range(min(run, 2)):
-                    steps.append([(x, SWAP) for x in letters] + [("", SWAP + DROP)])
+                    steps.append([(x, SWAP) for x in letters] + [("", SWAP + DROP), (c, STAY)])
+            elif apart and (c.isspace() or c in SEPARATORS):
+                while j < len(token) and token[j].isspace():
+                    j += 1
+                end = WIDE if j - i > 1 or c in "\n\r" else GAP
+                steps.append([("", math.log(1 - math.exp(end))), (" ", end)])
             elif c in SEPARATORS:
-                steps.append([("", DROP)])
+                steps.append([("", DROP), (" ", END)])
             else:
                 steps.append([(" ", 0.0)])
             i = j
         return steps
 
-    def decode(self, token: str) -> str:
+    def decode(self, token: str, apart: bool = False) -> str:
         model = self.model
         states = {(26, 26, 26): (0.0, ("", None))}
-        for options in [*self.lattice(token), [(" ", 0.0)]]:
+        for options in [*self.lattice(token, apart), [(" ", 0.0)]]:
             new: dict = {}
             for (a, b, c), (score, path) in states.items():
                 for letters, cost in options:
@@ -169,7 +178,7 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The text with all that is obfuscated restored."""
-        joined = APART.sub(lambda m: re.sub(r"[ .\-_*~]", "", m[0]), text)
+        joined = APART.sub(lambda m: self.decode(m[0].lower(), True), text)
         return re.sub(r"\S+", lambda m: self.word(m[0]), joined)
 
     def word(self, token: str) -> str:
@@ -198,17 +207,21 @@ class Reader:
             found += [f for w in again.split() for f in features(w)]
         return tuple(found if self.lexicon is None else [f for f in found if f in self.lexicon])
 
+    def of_run(self, run: str) -> tuple[str, ...]:
+        """Features of the words that letters apart are."""
+        found = [f for w in self.restorer.decode(run.lower(), True).split() if (core := EDGES.sub("", w)) for f in features(core)]
+        return tuple(found if self.lexicon is None else [f for f in found if f in self.lexicon])
+
     def read(self, text: str) -> set[str]:
         if len(self.known) > self.MOST:
             self.known.clear()
         known, out = self.known, set()
         tokens = set(text.split())
-        for m in APART.finditer(text):
-            tokens.add(re.sub(r"[ .\-_*~]", "", m[0]))
+        tokens.update(" " + m[0] for m in APART.finditer(text))  # a blank tells runs from tokens
         for token in tokens:
             found = known.get(token)
             if found is None:
-                found = known[token] = self.of_token(token)
+                found = known[token] = self.of_run(token[1:]) if token[0] == " " else self.of_token(token)
             if found:
                 out.update(found)
         return out

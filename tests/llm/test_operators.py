@@ -54,6 +54,20 @@ def test_toxicity_restores_obfuscated_words(spark, texts):
     assert r.restore("plain words stay") == "plain words stay"
 
 
+def test_toxicity_restores_spaced_words_in_their_places(spark, texts):
+    from loomspark.llm.toxicity import Reader, Restorer, language_model
+
+    model = language_model(docs(spark, [(i, t + " you are a stupid man es y tonto you stupid loser", "a") for i, t in texts]))
+    r, reader = Restorer(model), Reader(model)
+    for text, words in {
+        "you are a s t u p i d man": ["stupid"], "es y t o n t o": ["tonto"], "y o u s t u p i d": ["you", "stupid"],
+        "a s  t  u  p  i  d man": ["stupid"], "s\nt\nu\np\ni\nd": ["stupid"], "s t u p i d   l o s e r": ["stupid", "loser"],
+        "s t u p 1 d": ["stupid"], "a s.t.u.p.i.d man": ["stupid"], "stupid-l0ser": ["stupid", "loser"],
+    }.items():
+        assert set(words) <= set(r.restore(text).split()), (text, r.restore(text))
+        assert {w + "$" for w in words} <= reader.read(text), text
+
+
 def test_toxicity_odd_rows(spark, odd):
     from loomspark.llm.toxicity import keep_clean, toxicity
 
