@@ -4,7 +4,8 @@ A candidate is a maximal run of token characters.  For each character class,
 the candidate's maximal runs of that class are scanned by a window whose
 character counts are updated in place as it moves (one character leaves, one
 comes in), and so is its Shannon entropy.  Windows that reach the class's
-threshold join into spans, unless an allow-listed pattern covers them.
+threshold join into spans, unless an allow-listed pattern covers them; windows
+that overlap a known string are left out before they join.
 
 Defined cases: null text counts as empty and has no secrets; a null id stays
 null; repeated rows give repeated results; other columns are ignored.
@@ -36,13 +37,15 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 #: Bits a character that a window of a class must reach, and what else a window must hold: digits and letters.
 CLASSES = {"hex": (re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}"), 3.0), "word": (re.compile(rf"[A-Za-z0-9]{{{WINDOW},}}"), 3.7), "base64": (re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"), 3.9)}
 #: Strings that look random but are known to be public.
-ALLOWED = (re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"(?i)[a-z0-9+/_=-]*example[a-z0-9+/_=-]*"), re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/=]+"), re.compile(r"(?i)[a-z0-9+/_=-]*(?:abcdefghij|0123456789)[a-z0-9+/_=-]*"))
+ALLOWED = (re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/=]+"))
+#: Strings that no window may overlap.
+KNOWN = re.compile(r"(?i)example|abcdefghij|0123456789")
 #: c * log2(c) for all counts of a window.
 CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
-def hot_windows(text: str, threshold: float) -> list[tuple[int, int]]:
-    """Joined windows of ``text`` whose entropy reaches the threshold and that hold a digit and a letter."""
+def hot_windows(text: str, threshold: float, known: bytearray | None = None) -> list[tuple[int, int]]:
+    """Joined windows of ``text`` whose entropy reaches the threshold and that hold a digit and a letter; none begins where ``known`` is set."""
     counts: dict[str, int] = {}
     weight, digits, spans = 0.0, 0, []
     most = WINDOW * (math.log2(WINDOW) - threshold) + 1e-9
@@ -57,7 +60,7 @@ def hot_windows(text: str, threshold: float) -> list[tuple[int, int]]:
             counts[gone] = n - 1
             weight += CLOG[n - 1] - CLOG[n]
             digits -= gone.isdigit()
-        if i >= WINDOW - 1 and weight <= most and 0 < digits < WINDOW:
+        if i >= WINDOW - 1 and weight <= most and 0 < digits < WINDOW and not (known and known[i - WINDOW + 1]):
             start = i - WINDOW + 1
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = i + 1
@@ -69,10 +72,14 @@ def hot_windows(text: str, threshold: float) -> list[tuple[int, int]]:
 def entropy_spans(text: str, candidates: list[re.Match]) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for m in candidates:
-        own = []
+        own, barred = [], None
+        for x in KNOWN.finditer(m[0]):
+            barred = barred or bytearray(len(m[0]))
+            low = max(0, x.start() - WINDOW + 1)
+            barred[low : x.end()] = b"\1" * (x.end() - low)
         for pattern, threshold in CLASSES.values():
             for run in pattern.finditer(m[0]):
-                own += [(run.start() + a, run.start() + b) for a, b in hot_windows(run[0], threshold)]
+                own += [(run.start() + a, run.start() + b) for a, b in hot_windows(run[0], threshold, barred and barred[run.start() : run.end()])]
         if not own:
             continue
         known = [x.span() for p in ALLOWED for x in p.finditer(m[0])]
