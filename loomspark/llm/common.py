@@ -7,6 +7,7 @@ import tempfile
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -89,3 +90,38 @@ def keep_rows(docs: DataFrame, test: Callable[[list], list[bool]], most: int = 4
             yield piece.filter(pa.array(test(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of sorted batches, one table for each run of equal values in the first ``keys`` columns (numbers, no nulls)."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = bool(held) and tuple(c[0] for c in columns) != last
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        at = 0
+        for cut in [*np.flatnonzero(new).tolist(), batch.num_rows]:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            if cut < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = cut
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

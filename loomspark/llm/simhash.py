@@ -2,13 +2,16 @@
 
 Fingerprints come from three-word shingles (any width may be asked for); the
 pipeline takes four words of bits over the sets of five-word shingles, compares
-strips of text length, and holds pairs near the limit against each other's
+strips of text length, and holds every candidate pair against each other's
 whole sets.
-Documents with the same fingerprint are one class at once (``groupBy`` with a
-map-side minimum), so a group of copies of any size is a single fingerprint
-afterwards.  The distinct fingerprints are laid into *strips* by population
-count, strips are cut into chunks of bounded size by a hash, and only chunk
-pairs whose population counts differ by no more than the radius are compared.
+Documents with the same fingerprint (in the pipeline: the same set of
+shingles) are one class at once (``groupBy`` with a map-side minimum), so a
+group of copies of any size is a single row afterwards.  The classes are laid
+into *cells*, by the population counts of equal parts of the fingerprint or by
+text length, such that only cells next to each other can hold links.  Cells
+are cut into chunks of bounded size by a hash, and a join on the table of
+cells, whose size is bounded by the width of a fingerprint, deals every chunk
+to the pairs that it is in; nothing on the driver grows with the data.
 Inside a chunk pair the rows lie in tiles, in order of the population counts of
 the four 16-bit quarters; a tile pair is skipped when these counts differ by
 more than the radius in sum (a lower bound of the Hamming distance), and the
@@ -20,8 +23,9 @@ checkpointed.
 Defined cases: null text counts as empty; a text without words has
 fingerprint zero, which is linked like any other; fewer words than the shingle
 width give one shingle of the whole sequence; a null id keeps its row and its
-class, and is never the smallest id; repeated rows fall into one class; other
-columns are ignored.
+class, and is never the smallest id; repeated rows fall into one class; an
+empty table gives no rows; a very long text is one fingerprint like any other;
+other columns are ignored, and kept by ``first_of_each`` under any name.
 """
 
 from __future__ import annotations
@@ -30,25 +34,32 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, lru_cache
+from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from loomspark.llm.common import cut_lineage, map_text
+from loomspark.llm.common import cut_lineage, fresh, map_text, runs
 
 #: A chunk has about this many times the square root of all distinct fingerprints: 70,000 rows of 33 million, 16 MB of 30 billion.
 CHUNK = 12
 #: Bytes of shingle sets that a chunk's rows may have, where they are compared.
 SETS = 48 << 20
-#: Pairs that wait for the links of a chunk pair, sets compared at once, and rows up to which a list of texts is broadcast.
-WAITING, BATCH, LISTED = 2_000_000, 64, 100_000
+#: Sets compared at once, and links of small chunk pairs that are handed on together.
+BATCH, TOGETHER = 64, 20_000
+#: Parts of a fingerprint whose population counts can make up a cell.
+PARTS = (1, 2, 4)
+#: What a chunk pair costs by itself, in rows.
+EACH = 300
 #: Rows of a tile, and tiles that are compared with a tile at once.
 TILE, AT_ONCE = 256, 16
 FIRST = np.uint64(0xFFFF)
-#: Chance to miss a pair of the similarity, or to take one below it, by bits alone; set sizes up to which the chance of a bit is counted out.
+#: Chance to miss a pair of the similarity; set sizes up to which the chance of a bit is counted out.
 LOSS, COUNTED = 1e-6, 128
 
 
@@ -97,23 +108,24 @@ def names(words: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, key: Column | None = None) -> DataFrame:
-    """(doc_id, row, n, f0, ...): an identity of the row, distinct shingles, and the fingerprint's words as signed 64-bit numbers.
+    """(doc_id, row, n, same, f0, ...): an identity of the row, distinct shingles, a digest of their set, and the fingerprint's words as signed 64-bit numbers.
 
     A single word counts repeats of a shingle; several words tell the similarity of sets.
     """
 
     def run(ids, rows, texts):
-        out = {"doc_id": ids, "row": rows, "n": []} | {f: [] for f in names(words)}
+        out = {"doc_id": ids, "row": rows, "n": [], "same": []} | {f: [] for f in names(words)}
         for text in texts:
             h = shingle_hashes(text, width)
             h = np.unique(h) if words > 1 else h
             out["n"].append(len(h) if words > 1 else 0)
+            out["same"].append(xxhash.xxh3_128_digest(h.tobytes()) if words > 1 else None)
             for k, f in enumerate(names(words)):
                 out[f].append(signed(majority(stirred(h, k))))
         return out
 
     keyed = docs.select("doc_id", (F.lit(None).cast("string") if key is None else key).alias("row"), "text")
-    return map_text(keyed, run, "doc_id long, row string, n long, " + ", ".join(f"{f} long" for f in names(words)), "doc_id", "row", "text")
+    return map_text(keyed, run, "doc_id long, row string, n long, same binary, " + ", ".join(f"{f} long" for f in names(words)), "doc_id", "row", "text")
 
 
 class Forest:
@@ -230,90 +242,54 @@ def most_bits(bits: int, chance: float) -> int:
     return k
 
 
-def least_bits(bits: int, chance: float) -> int:
-    """The largest number that is reached or fallen short of with a chance of LOSS at most, or -1."""
-    held, k = 0.0, -1
-    while k < bits:
-        held += math.comb(bits, k + 1) * chance ** (k + 1) * (1 - chance) ** (bits - k - 1)
-        if held > LOSS:
-            break
-        k += 1
-    return k
-
-
 @dataclass(frozen=True)
 class Limits:
     """Bits between texts of a similarity whose smaller set lies in ``strip``.
 
-    All are within ``radius`` and ``half`` (of two words), and within ``sure``
-    none is below the similarity, but for a chance of LOSS each.  The chance of
-    a bit is exact for each pair of set sizes (ties make it larger for small
-    sets); it falls with size, so sets beyond COUNTED take that of sizes just
-    under it.
+    All are within ``radius`` and ``half`` (of two words), but for a chance of
+    LOSS each.  The chance of a bit is exact for each pair of set sizes (ties
+    make it larger for small sets); it falls with size, so sets beyond COUNTED
+    take that of sizes just under it.
     """
 
     similarity: float
     words: int
     strip: int = 0
 
-    def chances(self) -> tuple[float, float]:
-        """The largest at or above the similarity, and the least below it."""
-        return strip_chances(self.similarity, self.strip)
+    @property
+    def chance(self) -> float:
+        return strip_chance(self.similarity, self.strip)
 
     @cached_property
     def radius(self) -> int:
-        return most_bits(64 * self.words, self.chances()[0])
+        return most_bits(64 * self.words, self.chance)
 
     @cached_property
     def half(self) -> int:
-        return most_bits(128, self.chances()[0])
-
-    @cached_property
-    def sure(self) -> int:
-        return least_bits(64 * self.words, self.chances()[1])
+        return most_bits(128, self.chance)
 
 
 @lru_cache(1000)
-def strip_chances(similarity: float, strip: int) -> tuple[float, float]:
+def strip_chance(similarity: float, strip: int) -> float:
+    """The largest chance of a bit at or above the similarity."""
     low, high = (math.ceil(similarity**-k - 1e-6) for k in (strip, strip + 1))
     if high > COUNTED:
         low, high = int(COUNTED * similarity), COUNTED
-    most, least = 0.0, 1.0
+    most = 0.0
     for m in range(max(1, low), max(low + 1, high)):
         for n in range(m, int(m / similarity + 1e-9) + 1):
             common = math.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
             if common <= m:
                 most = max(most, bit_chance(common, m - common, n - common))
-            least = min(least, bit_chance(min(common - 1, m), m - min(common - 1, m), n - min(common - 1, m)))
-        # sets whose sizes alone keep them below the similarity, up to the next strip's end
-        for n in range(int(m / similarity + 1e-9) + 1, math.ceil(m / similarity**2) + 2):
-            least = min(least, bit_chance(m, 0, n - m))
-    return most, least
-
-
-def sort_out(left: np.ndarray, right: np.ndarray | None, limits: Limits) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A spanning forest of the sure pairs, and the rows of further pairs that it leaves apart."""
-    n = len(left) + (0 if right is None else len(right))
-    forest, kept, doubtful = Forest(n), [], np.zeros(n, bool)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle():
-        for u, v in waiting:
-            apart = forest.up[u] != forest.up[v]
-            doubtful[u[apart]] = doubtful[v[apart]] = True
-        waiting.clear()
-
-    held = 0
-    for u, v, d in tile_pairs(left, right, limits.radius, limits.half):
-        near = d <= limits.sure
-        kept += forest.join(u[near], v[near])
-        waiting.append((u[~near], v[~near]))
-        held += len(u)
-        if held > WAITING:
-            settle()
-            held = 0
-    settle()
-    return kept, np.flatnonzero(doubtful)
+    return most
+
+
+def candidates(left: np.ndarray, right: np.ndarray | None, limits: Limits) -> np.ndarray:
+    """The rows that are in a pair within the limits."""
+    found = np.zeros(len(left) + (0 if right is None else len(right)), bool)
+    for u, v, _ in tile_pairs(left, right, limits.radius, limits.half):
+        found[u] = found[v] = True
+    return np.flatnonzero(found)
 
 
 def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -329,12 +305,9 @@ def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.nd
 
 
 def verified(left: np.ndarray, right: np.ndarray | None, sets: list[np.ndarray], limits: Limits) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs whose sets have the similarity; sure pairs are known already."""
+    """A spanning forest of the pairs whose sets have the similarity; each of its links is such a pair."""
     forest = Forest(len(sets))
-    for u, v, d in tile_pairs(left, right, limits.radius, limits.half):
-        near = d <= limits.sure
-        forest.join(u[near], v[near])
-        u, v = u[~near], v[~near]
+    for u, v, _ in tile_pairs(left, right, limits.radius, limits.half):
         order = np.argsort(u, kind="stable")
         u, v = u[order], v[order]
         cuts = np.flatnonzero(np.r_[True, np.diff(u) != 0]) if len(u) else []
@@ -348,98 +321,153 @@ def verified(left: np.ndarray, right: np.ndarray | None, sets: list[np.ndarray],
                     yield from forest.join(np.full(len(good), one), good)
 
 
-def chunk_pairs(classes: DataFrame, words: int, reach: int, ratio: float = 1.0) -> tuple[DataFrame, set[int], list[int]] | None:
-    """(pair, side, node, f0, ...): every chunk for every pair that it is in, which pairs are one chunk alone, and each pair's lower strip.
+# -- cells, chunks and their pairs --------------------------------------------------
+
+PAIR = ("low", "low_chunk", "high", "high_chunk")
+
+
+def count_cell(word: Column, parts: int, radius: int) -> Column:
+    """The population counts of equal parts of a word as one number; counts that differ by the radius stay apart in every part."""
+    width, base = 64 // parts, 64 // parts + 1 + 2 * radius
+    out = F.lit(0).cast("long")
+    for i in range(parts):
+        part = F.shiftrightunsigned(word, i * width)
+        part = part if parts == 1 else part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        out = out * base + F.bit_count(part) + radius
+    return out
+
 
-    Only strips that are at most ``reach`` apart can hold links.
+def steps(parts: int, radius: int) -> list[int]:
+    """Differences between the numbers of cells whose counts differ by the radius at most in sum."""
+    base = 64 // parts + 1 + 2 * radius
+    return sorted(sum(o * base ** (parts - 1 - i) for i, o in enumerate(offset)) for offset in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, offset)) <= radius)
+
+
+def chunk_rows(n: int) -> int:
+    return max(TILE, int(CHUNK * n**0.5))
+
+
+def best_parts(classes: DataFrame, radius: int) -> tuple[int, int]:
+    """The number of parts whose cells deal each row to the fewest chunk pairs, and all rows.
+
+    Reads the number of rows of each cell of four parts: at most 17 ** 4 of them, whatever the data.
     """
-    spark = classes.sparkSession
-    sizes = {r.strip: r.n for r in classes.groupBy("strip").agg(F.count("*").alias("n")).collect()}  # 65 rows, or the logarithm of the longest text
-    chunk = max(TILE, int(CHUNK * sum(sizes.values()) ** 0.5))
-    # strips of several words are lengths: a set of strip p has up to ratio ** (p + 1) hashes
-    chunks = {p: -(-n // (chunk if words == 1 else max(8, min(chunk, int(SETS / 8 / ratio ** (p + 1)))))) for p, n in sizes.items()}
-    pairs, part_of = [], {}
-    for p in sorted(chunks):
-        for q in range(p, p + reach + 1):
-            for i in range(chunks[p]):
-                for j in range(i if q == p else 0, chunks.get(q, 0)):
-                    n = len(pairs)
-                    pairs.append((p, i, q, j))
-                    part_of.setdefault((p, i), []).append((n, 0))
-                    if (q, j) != (p, i):
-                        part_of.setdefault((q, j), []).append((n, 1))
-    if not pairs:
-        return None
-    plan = spark.createDataFrame([(p, c, n, side) for (p, c), uses in part_of.items() for n, side in uses], "strip int, chunk int, pair int, side int")
-    of = F.create_map(*[F.lit(x) for p, c in chunks.items() for x in (p, c)])
-    rows = classes.withColumn("chunk", F.pmod(F.xxhash64(*names(words)), of[F.col("strip")].cast("long")).cast("int"))
-    dealt = rows.join(F.broadcast(plan), ["strip", "chunk"]).select("pair", "side", "node", *names(words))  # plan: a few rows for each chunk pair
-    return dealt, {n for n, (p, i, q, j) in enumerate(pairs) if (p, i) == (q, j)}, [p for p, *_ in pairs]
-
-
-def sides(frame: pd.DataFrame, words: int, alone: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Fingerprints of a chunk pair's left and right side, and the places of their rows, left before right."""
-    f = np.stack([frame[k].to_numpy().view(np.uint64) for k in names(words)], axis=1)
-    side = frame["side"].to_numpy()
-    at = np.argsort(side, kind="stable")
-    return f[side == 0], None if alone else f[side == 1], at
-
-
-def near_links(classes: DataFrame, words: int, radius: int, reach: int) -> DataFrame:
-    """(u, v): a spanning forest, chunk pair by chunk pair, of all links between the ``node`` of ``classes``."""
-    dealt = chunk_pairs(classes, words, reach)
-    if dealt is None:
-        return classes.sparkSession.createDataFrame([], "u long, v long")
-    rows, alone, _ = dealt
+    finest = max(PARTS)
+    fine = classes.select(count_cell(F.col("f0"), finest, radius).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()
+    if not fine:
+        return PARTS[0], 0
+    cell, n = np.array([tuple(r) for r in fine], np.int64).T
+    base, total = 64 // finest + 1 + 2 * radius, int(n.sum())
+    digits = np.stack([cell // base ** (finest - 1 - i) % base - radius for i in range(finest)])
+    best = None
+    for parts in PARTS:
+        if len(steps(parts, radius)) > 1000:
+            continue
+        grouped_digits = digits.reshape(parts, finest // parts, -1).sum(axis=1)
+        own_base = 64 // parts + 1 + 2 * radius
+        code = sum((d + radius) * own_base ** (parts - 1 - i) for i, d in enumerate(grouped_digits))
+        codes, at = np.unique(code, return_inverse=True)
+        rows = np.bincount(at, weights=n)
+        chunks, uses = np.ceil(rows / chunk_rows(total)), np.zeros(len(codes))
+        for s in steps(parts, radius):
+            other = np.searchsorted(codes, codes + s)
+            there = codes[np.minimum(other, len(codes) - 1)] == codes + s
+            uses[there] += chunks[other[there]]
+        cost = float(((rows + EACH * chunks) * uses).sum())
+        if best is None or cost < best[0]:
+            best = cost, parts
+    return best[1], total
+
+
+def dealt(rows: DataFrame, chunks: DataFrame, differences: list[int]) -> DataFrame:
+    """``rows`` (cell, node, f0, ...), each once for every chunk pair that its chunk is in: (low, low_chunk, high, high_chunk, side, ...).
+
+    ``chunks``: (cell, k) of all cells, a table bounded by the number of cells
+    that there can be; a pair's lower cell, or lower chunk of a cell, is side 0.
+    """
+    own = rows.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int"))
+    near = own.withColumn("other", F.explode(F.array(*[F.col("cell") + F.lit(d) for d in differences])))
+    partner = chunks.select(F.col("cell").alias("other"), F.col("k").alias("other_k"))
+    met = near.join(F.broadcast(partner), "other").withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("other_k") - 1)))
+    lower = (F.col("cell") < F.col("other")) | ((F.col("cell") == F.col("other")) & (F.col("chunk") <= F.col("other_chunk")))
+    sides = [F.when(lower, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in zip(PAIR, ("cell", "chunk", "other", "other_chunk"), ("other", "other_chunk", "cell", "chunk"))]
+    rest = [c for c in rows.columns if c != "cell"]
+    return met.select(*sides, F.when(lower, 0).otherwise(1).alias("side"), *rest)
+
 
-    def compare(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, at = sides(frame, words, key[0] in alone)
-        found = list(links(left, right, radius)) if len(left) and (right is None or len(right)) else []
-        u, v = np.array(found, np.int64).reshape(-1, 2).T
-        node = frame["node"].to_numpy()[at]
-        return pd.DataFrame({"u": node[u], "v": node[v]})
+def by_pair(pairs: DataFrame, words: int, compare: Callable, schema: str) -> DataFrame:
+    """``compare(low cell, left, right or None, table)`` for every chunk pair; ``table`` has its rows, left before right.
 
-    return rows.groupBy("pair").applyInPandas(compare, "u long, v long")
+    ``compare`` gives a dict of arrays.  A chunk pair is bounded, and so are the results that wait.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [*PAIR, "side", *[c for c in pairs.columns if c not in (*PAIR, "side")]]
+
+    def run(batches):
+        waiting, held = [], 0
+        for table in runs(batches, len(PAIR)):
+            low, low_chunk, high, high_chunk = (table.column(i)[0].as_py() for i in range(len(PAIR)))
+            alone = (low, low_chunk) == (high, high_chunk)
+            side = table.column("side").to_numpy()
+            if len(side) < 2 or not alone and (side[0] == 1 or side[-1] == 0):
+                continue  # nothing to compare with
+            f = np.stack([table.column(n).to_numpy().view(np.uint64) for n in names(words)], axis=1)
+            cut = int((side == 0).sum())
+            found = compare(low, f if alone else f[:cut], None if alone else f[cut:], table)
+            size = len(next(iter(found.values())))
+            if size:
+                fixed = dict(zip(PAIR, (low, low_chunk, high, high_chunk)))
+                waiting.append(pa.RecordBatch.from_arrays([pa.array(found[n] if n in found else np.full(size, fixed[n]), arrow.field(n).type) for n in arrow.names], schema=arrow))
+                held += size
+            if held > TOGETHER:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, held = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    return pairs.select(*columns).repartition(*PAIR).sortWithinPartitions(*PAIR, "side").mapInArrow(run, schema)
+
+
+def forest_of(found: list[tuple[int, int]], table: pa.Table) -> dict:
+    u, v = np.array(found, np.int64).reshape(-1, 2).T
+    node = table.column("node").to_numpy()
+    return {"u": node[u], "v": node[v]}
+
+
+def near_links(classes: DataFrame, radius: int) -> DataFrame:
+    """(u, v): a spanning forest, chunk pair by chunk pair, of all links between the ``node`` of ``classes``."""
+    parts, total = best_parts(classes, radius)
+    rows = classes.select(count_cell(F.col("f0"), parts, radius).alias("cell"), "node", "f0")
+    chunks = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(chunk_rows(total))).cast("int").alias("k"))  # at most 17 ** 4 rows
+    return by_pair(dealt(rows, chunks, steps(parts, radius)), 1, lambda low, left, right, table: forest_of(list(links(left, right, radius)), table), "u long, v long")
 
 
 def similar_links(classes: DataFrame, docs: DataFrame, width: int, limits: Limits) -> DataFrame:
     """(u, v): a spanning forest, chunk pair by chunk pair, of the ``node`` whose shingle sets have the similarity.
 
-    Fingerprints settle most pairs; rows of the others come again with their
-    sets, which are made for these rows only.
+    Fingerprints choose the rows that have a candidate; these come again with
+    their sets, and every pair that becomes a link is verified by them.
     """
-    words = limits.words
-    dealt = chunk_pairs(classes, words, 1, 1 / limits.similarity)
-    if dealt is None:
-        return classes.sparkSession.createDataFrame([], "u long, v long")
-    rows, alone, lower = dealt
-
-    def settle(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, at = sides(frame, words, key[0] in alone)
-        kept, doubtful = sort_out(left, right, replace(limits, strip=lower[key[0]])) if len(left) and (right is None or len(right)) else ([], np.zeros(0, np.int64))
-        u, v = np.array(kept, np.int64).reshape(-1, 2).T
-        node, side = frame["node"].to_numpy()[at], frame["side"].to_numpy()[at]
-        parts = {"side": (np.full(len(u), -1), side[doubtful]), "u": (node[u], node[doubtful]), "v": (node[v], node[doubtful])}
-        return pd.DataFrame({"pair": key[0]} | {k: np.concatenate(x) for k, x in parts.items()})
-
-    settled = cut_lineage(rows.groupBy("pair").applyInPandas(settle, "pair long, side int, u long, v long"))
-    again = settled.filter("side >= 0").select("pair", "side", F.col("u").alias("node"))
+    words, ratio = limits.words, 1 / limits.similarity
+    rows = classes.select(F.col("strip").cast("long").alias("cell"), "node", *names(words))
+    # strips are lengths: a set of strip p has up to ratio ** (p + 1) hashes, and there are as many strips as the logarithm of the longest text
+    most = F.greatest(F.lit(8.0), F.least(F.lit(float(chunk_rows(classes.count()))), F.lit(SETS / 8) / F.pow(F.lit(ratio), F.col("cell") + 1)))
+    chunks = rows.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / F.floor(most)).cast("int").alias("k"))
+
+    def choose(low, left, right, table):
+        at = candidates(left, right, replace(limits, strip=low))
+        return {"side": table.column("side").to_numpy()[at], "node": table.column("node").to_numpy()[at]}
+
+    again = cut_lineage(by_pair(dealt(rows, chunks, [-1, 0, 1]), words, choose, "low long, low_chunk int, high long, high_chunk int, side int, node long"))
     needed = cut_lineage(classes.join(again.select("node").distinct(), "node").select("node", *names(words), F.col("row").alias("of")))
-    few = needed.select("node", "of")
-    few = F.broadcast(few) if needed.count() <= LISTED else few
-    texts = docs.select(row_key().alias("row"), "text").join(few, F.col("row") == F.col("of")).select("node", "text").dropDuplicates(["node"])
+    texts = docs.select(row_key().alias("row"), "text").join(needed.select("node", "of"), F.col("row") == F.col("of")).select("node", "text").dropDuplicates(["node"])
     sets = map_text(texts, lambda nodes, found: {"node": nodes, "hashes": [np.unique(shingle_hashes(t, width)).tobytes() for t in found]}, "node long, hashes binary", "node", "text")
 
-    def verify(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, at = sides(frame, words, key[0] in alone)
-        hashes = [np.frombuffer(x, np.uint64) for x in frame["hashes"].to_numpy()[at]]
-        found = list(verified(left, right, hashes, replace(limits, strip=lower[key[0]]))) if len(left) and (right is None or len(right)) else []
-        u, v = np.array(found, np.int64).reshape(-1, 2).T
-        node = frame["node"].to_numpy()[at]
-        return pd.DataFrame({"u": node[u], "v": node[v]})
+    def verify(low, left, right, table):
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        return forest_of(list(verified(left, right, hashes, replace(limits, strip=low))), table)
 
-    found = again.join(needed.select("node", *names(words)).join(sets, "node"), "node").groupBy("pair").applyInPandas(verify, "u long, v long")
-    return settled.filter("side < 0").select("u", "v").union(found)
+    return by_pair(again.join(needed.drop("of").join(sets, "node"), "node"), words, verify, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -464,22 +492,22 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(prints: DataFrame, words: int, strip: Column, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``prints`` with root and component_id: the smallest id that links lead to, or null if all ids there are null."""
-    prints = cut_lineage(prints.withColumn("strip", strip.cast("int")))
-    key = [*names(words), "strip"]
-    classes = cut_lineage(prints.groupBy(*key).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
+def grouped(prints: DataFrame, key: list[str], link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints`` with root and component_id: the smallest id that links lead to, or null if all ids there are null.  Rows of equal ``key`` are one class."""
+    prints = cut_lineage(prints)
+    rest = [c for c in prints.columns if c not in (*key, "doc_id", "row")]
+    classes = cut_lineage(prints.groupBy(*key).agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.min(c).alias(c) for c in rest]).withColumn("node", F.monotonically_increasing_id()))
     linked = components(link(classes)).withColumnRenamed("node", "member")
     roots = classes.join(linked, classes.node == linked.member, "left").select(*key, "least", F.coalesce("root", "node").alias("root"))
     of_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     label = roots.join(of_root, "root").select(*key, "root", "component_id")
-    # a hot fingerprint is one row on the right; AQE splits its rows on the left
+    # a hot class is one row on the right; AQE splits its rows on the left
     return prints.join(label, key, "left")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): links are fingerprints of one word within ``radius`` bits."""
-    found = grouped(fingerprints(docs, width), 1, F.bit_count("f0"), lambda classes: near_links(classes, 1, radius, radius))
+    found = grouped(fingerprints(docs, width).select("doc_id", "row", "f0"), ["f0"], lambda classes: near_links(classes, radius))
     return found.select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
@@ -488,20 +516,21 @@ def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, word
 
     Links are texts whose sets of shingles have the similarity.  Only texts
     whose numbers of distinct shingles allow it are compared, by strips of that
-    ratio; fingerprints of several words choose pairs, and pairs near the limit
-    are verified by their sets.
+    ratio; fingerprints of several words choose candidates, and every link is
+    verified by the sets.
     """
     limits = Limits(similarity, words)
     n = F.greatest("n", F.lit(1)).cast("double")
-    strip = F.floor(F.log(n) / F.lit(-math.log(similarity)) + 1e-9)
-    found = grouped(fingerprints(docs, width, words, row_key()), words, strip, lambda classes: similar_links(classes, docs, width, limits))
+    strip = F.floor(F.log(n) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+    prints = fingerprints(docs, width, words, row_key()).withColumn("strip", strip).drop("n")
+    found = grouped(prints, ["same"], lambda classes: similar_links(classes, docs, width, limits))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    chosen = found.groupBy("root").agg(least.alias("m")).select(F.col("m.row").alias("__row"))
-    docs_key = docs.withColumn("__row", row_key())
-    kept = docs_key.join(chosen, "__row", "left_semi")
+    row, place = fresh(docs, "row_", "place_")
+    chosen = found.groupBy("root").agg(least.alias("m")).select(F.col("m.row").alias(row))
+    kept = docs.withColumn(row, row_key()).join(chosen, row, "left_semi")
     # rows that repeat both id and text: one of them; the join has dealt them by this key
-    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0))))
-    return once.filter("__n = 1").select(*docs.columns)
+    once = kept.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0))))
+    return once.filter(F.col(place) == 1).select(*docs.columns)
 
 
 def row_key() -> Column:

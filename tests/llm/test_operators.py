@@ -473,6 +473,32 @@ def test_near_copies_of_few_shingles_are_all_found(spark):
         assert above(256, chance, limits.radius) + above(128, chance, limits.half) <= 2e-6
 
 
+def test_near_copies_of_all_small_sizes_at_the_limit(spark):
+    """Every pair of set sizes up to 40 that can have the similarity, with as few common shingles as it takes; and with one less, none."""
+    from loomspark.llm.simhash import first_of_each
+
+    rows, want = [], set()
+    for m in range(1, 41):
+        for n in range(m, 41):
+            common = math.ceil(0.8 * (m + n) / 1.8 - 1e-9)
+            for least in (common, common - 1):
+                if least > m or least < 1:
+                    continue
+                head = [f"w{len(rows)}_{i}" for i in range(least + 4)]
+                first = len(rows)
+                rows += [(first, " ".join(head + [f"a{i}" for i in range(m - least)]), "a"), (first + 1, " ".join(head + [f"b{first}_{i}" for i in range(n - least)]), "a")]
+                want |= {first} if least == common or (m == n == least) else {first, first + 1}
+    assert len(rows) > 800 and {r.doc_id for r in first_of_each(docs(spark, rows)).collect()} == want
+
+
+def test_clashing_names_stay(spark):
+    from loomspark.llm.simhash import first_of_each
+
+    rows = spark.createDataFrame([(1, "a b c d e f", "x", 1, 2.0), (2, "a b c d e f", "y", 3, 4.0)], "doc_id long, text string, row_ string, place_ int, Same double")
+    out = first_of_each(rows).collect()
+    assert [tuple(r) for r in out] == [(1, "a b c d e f", "x", 1, 2.0)]
+
+
 def test_near_copies_go(spark, texts, odd):
     from loomspark.llm.simhash import first_of_each
 
