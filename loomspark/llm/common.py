@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -68,9 +69,9 @@ def map_text(df: DataFrame, function: Callable, schema: str, *columns: str, most
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the planner takes the input to hold, from the sizes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, counted: the planner's estimate can be off by any factor."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
 
 
 def release(spark: SparkSession) -> None:
@@ -125,3 +126,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def dealt_by(df: DataFrame, size: int, *keys: str, each: int = 1 << 26) -> DataFrame:
+    """``df`` dealt by ``keys`` to a partition for every ``each`` bytes of ``size``, or to the session's number of partitions if that is more."""
+    n = size // each
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)

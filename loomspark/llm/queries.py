@@ -89,10 +89,12 @@ select conv_id, count(*) as n_turns,
 from f group by conv_id"""
 
 
+#: Texts are cut into 256 bytes with the 49 after them before their strings are taken, as ``substr`` counts from the start.
 REPEATS_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-p as (select doc_id, i, substr(x, 2 * i + 1, 2) as b, case when 2 * i + 100 <= length(x) then substr(x, 2 * i + 1, 100) end as w
-  from (select doc_id, x, unnest(range(0, length(x) // 2)) as i from d)),
-f as (select w, min(doc_id) as m from p where w is not null group by w),
+k as (select doc_id, x, unnest(range(0, greatest(1, (length(x) + 511) // 512))) as c from d),
+y as (select doc_id, c * 256 as base, least(256, (length(x) - c * 512) // 2) as n, substr(x, c * 512 + 1, 512 + 98) as z from k),
+p as (select doc_id, base + i as i, substr(z, 2 * i + 1, 2) as b, case when 2 * i + 100 <= length(z) then substr(z, 2 * i + 1, 100) end as w from (select *, unnest(range(0, n)) as i from y)),
+f as (select w, min(doc_id) as m from p where w is not null group by w having min(doc_id) < max(doc_id)),
 g as (select p.doc_id, i, b, cast(coalesce(f.m < p.doc_id, false) as int) as gone from p left join f on p.w = f.w),
 c as (select *, max(gone) over (partition by doc_id order by i rows between 49 preceding and current row) as r from g),
 e as (select *, coalesce(lag(r) over (partition by doc_id order by i), 0) as before from c),

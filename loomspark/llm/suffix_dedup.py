@@ -8,13 +8,18 @@
 2. A shard merges its pieces' sorted arrays.  Contexts whose smallest id is in
    another piece are answered as *known*.  Where one anchor has several
    contexts, strings inside them may still agree: these contexts are asked for.
+   Contexts are told apart by the hashes of their anchor and of themselves, so
+   that two different ones would have to agree in both.
 3. Shards of contexts get suffix arrays: Larsson-Sadakane refinement in numpy,
    from ranks of eight bytes on, only inside groups that are still unsorted.
    Kasai's common prefixes, which run along all contexts at once, cut the
    array into classes of equal 50-byte strings; a string is removed where its
    class has a smaller id.  An anchor with very many contexts (the edge of a
-   passage that a large part of all documents share) is not one group: its
-   strings are aggregated one by one by Spark, with a map-side minimum.
+   passage that a large part of all documents share) is cut into parts, each
+   a shard of its own: a first suffix array gives each part's classes with
+   their smallest ids, these are merged over the parts by their bytes, and
+   where another part has a smaller id, the string joins the part's contexts
+   for the array that decides.
 4. Pieces look their anchors up in the sorted answers by binary search, mark
    bytes and hash what is left.
 
@@ -23,7 +28,8 @@ of contexts.  The result is that of comparing all strings with all others.
 
 Defined cases: null text counts as empty; texts under 50 bytes lose nothing; a
 null id keeps its row, loses nothing and takes nothing from others; rows that
-repeat an id do not take from each other; other columns are ignored.
+repeat an id do not take from each other; an empty table gives no rows; very
+long texts are cut by nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomspark.llm.common import cut_lineage, input_bytes, release
+from loomspark.llm.common import cut_lineage, dealt_by, release, text_bytes
 
 SIZE, GRAM = 50, 24
 SPAN = SIZE - GRAM + 1  # strings that hold a gram; also the grams of a string
 SIDE = SIZE - GRAM  # context bytes on either side of a gram
 CONTEXT = SIZE + SIDE
-#: Contexts of one anchor from which on its strings are aggregated by Spark instead of in one block.
+#: Contexts of a part of an anchor.
 MANY = 20_000
 #: Bytes of contexts that are sorted at once; a task holds about 60 times as much.
 BLOCK = 2 << 20
@@ -193,7 +199,7 @@ def send(bits: int):
 # -- 2: shards answer ---------------------------------------------------------
 
 ANSWER = "piece long, kind int, payload binary"
-KNOWN, ASKED, ASKED_MANY = 0, 1, 2
+KNOWN, ASKED, PARTED = 0, 1, 2
 
 
 def answer():
@@ -205,21 +211,26 @@ def answer():
             gram, context, least = (np.concatenate(x) for x in zip(*((np.cumsum(g), c, d) for g, c, d in parts)))
             least = least.view(np.int64)
             piece = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
-            order = np.argsort(context)  # equal contexts hold equal grams
+            order = np.lexsort((context, gram))
             gram, context, least, piece = gram[order], context[order], least[order], piece[order]
-            head = np.flatnonzero(np.r_[True, np.diff(context) != 0])
+            new_gram = np.r_[True, np.diff(gram) != 0]
+            head = np.flatnonzero(new_gram | np.r_[True, np.diff(context) != 0])
             number = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(context)]))
             known = least > np.minimum.reduceat(least, head)[number]
-            _, of, contexts = np.unique(gram[head], return_inverse=True, return_counts=True)
-            several = contexts[of][number]
-            kind = np.where(known, KNOWN, np.where(several > MANY, ASKED_MANY, ASKED))
+            of = np.cumsum(new_gram[head]) - 1  # which anchor a context is of
+            first = np.flatnonzero(new_gram[head])
+            several = np.diff(np.r_[first, len(head)])[of][number]
+            part = (np.arange(len(head)) - first[of])[number] // MANY
+            kind = np.where(known, KNOWN, np.where(several > MANY, PARTED, ASKED))
             keep = np.flatnonzero(known | (several > 1))
             keep = keep[np.argsort(piece[keep] * 4 + kind[keep], kind="stable")]
             code = piece[keep] * 4 + kind[keep]
             cuts = np.flatnonzero(np.r_[True, np.diff(code) != 0]) if len(code) else []
             out = []
             for a, b in zip(cuts, [*cuts[1:], len(code)]):
-                out.append({"piece": rows[code[a] // 4][1], "kind": int(code[a] % 4), "payload": context[keep[a:b]].tobytes()})
+                own = keep[a:b]
+                payload = np.stack([context[own], part[own].view(np.uint64)], axis=1) if code[a] % 4 == PARTED else context[own]
+                out.append({"piece": rows[code[a] // 4][1], "kind": int(code[a] % 4), "payload": payload.tobytes()})
             if out:
                 yield to_batch(out, arrow)
 
@@ -228,16 +239,19 @@ def answer():
 
 # -- 3: contexts that were asked for, and their suffix arrays -----------------
 
-ASKED_FOR = "gram long, piece long, context long, doc_id long, many boolean, left int, bytes binary"
+ASKED_FOR = "shard long, piece long, context long, doc_id long, parted boolean, bytes binary"
 FOUND = "piece long, kind int, payload binary"
 MARKS = 3
 
 
 def replies(rows: list[tuple]) -> dict[int, np.ndarray]:
     out = {}
-    for kind in (KNOWN, ASKED, ASKED_MANY):
+    for kind in (KNOWN, ASKED):
         parts = [np.frombuffer(r[2], np.uint64) for r in rows if r[1] == kind]
         out[kind] = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    parts = [np.frombuffer(r[2], np.uint64).reshape(-1, 2) for r in rows if r[1] == PARTED]
+    both = np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
+    out[PARTED] = both[np.argsort(both[:, 0])]
     return out
 
 
@@ -262,13 +276,17 @@ def show():
             said, p = piece_of(rows)
             said = replies(said)
             first, _, least = p.firsts()
+            context, gram = p.context[first], p.gram[first]
+            parted, number = said[PARTED].T
+            shard = gram.copy()
+            of_part = held(context, parted)
+            shard[of_part] = stir(gram[of_part], number[np.searchsorted(parted, context[of_part])], 2)
             out = []
-            for kind in (ASKED, ASKED_MANY):
-                for i in np.flatnonzero(held(p.context[first], said[kind])).tolist():
-                    a, d = int(p.at[first[i]]), p.doc[first[i]]
-                    low = max(a - SIDE, int(p.start[d]))
-                    high = min(a + SIZE, int(p.start[d] + p.size[d]))
-                    out.append({"gram": int(p.gram[first[i]].view(np.int64)), "piece": piece, "context": int(p.context[first[i]].view(np.int64)), "doc_id": int(least[i]), "many": kind == ASKED_MANY, "left": a - low, "bytes": p.buffer[low:high].tobytes()})
+            for i in np.flatnonzero(held(context, said[ASKED]) | of_part).tolist():
+                a, d = int(p.at[first[i]]), p.doc[first[i]]
+                low = max(a - SIDE, int(p.start[d]))
+                high = min(a + SIZE, int(p.start[d] + p.size[d]))
+                out.append({"shard": int(shard[i].view(np.int64)), "piece": piece, "context": int(context[i].view(np.int64)), "doc_id": int(least[i]), "parted": bool(of_part[i]), "bytes": p.buffer[low:high].tobytes()})
             for k in range(0, len(out), 20_000):
                 yield to_batch(out[k : k + 20_000], arrow)
 
@@ -329,8 +347,8 @@ def kasai(data: np.ndarray, order: np.ndarray, begin: np.ndarray, most: int) ->
     return common[order]
 
 
-def marks_of(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """Of each context, bits of the places from which 50 bytes also stand in a context of a smaller id."""
+def string_classes(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By suffix array: the places of 50-byte strings, the class of each, the least id of each class, and of each byte its context and offset."""
     size = np.fromiter(map(len, contexts), np.int64, len(contexts))
     begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
     data = np.frombuffer(b"".join(contexts) + b"\0" * (SIZE + 16), np.uint8)
@@ -344,47 +362,72 @@ def marks_of(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
     number, place = number[whole], order[whole]
     least = np.full(int(number.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, number, ids[owner[place]])
+    return place, number, least, owner, offset
+
+
+def marks_of(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Of each context, bits of the places from which 50 bytes also stand in a context of a smaller id."""
+    place, number, least, owner, offset = string_classes(contexts, ids)
     gone = place[ids[owner[place]] > least[number]]
     out = np.zeros(len(contexts), np.int64)
     np.bitwise_or.at(out, owner[gone], np.int64(1) << offset[gone])
     return out
 
 
+def blocks(batches, solve, arrow: pa.Schema):
+    """``solve`` of rows (shard, piece, context, doc_id, bytes) sorted by shard, some whole shards at a time."""
+    block, size = [], 0
+    for _, rows in by_key(batches, 5):
+        block += rows
+        size += sum(len(r[4]) for r in rows)
+        if size > BLOCK:
+            if found := solve(block):
+                yield to_batch(found, arrow)
+            block, size = [], 0
+    if block and (found := solve(block)):
+        yield to_batch(found, arrow)
+
+
 def sort_contexts():
     arrow = schema_of(FOUND)
 
     def solve(rows):
         marks = marks_of([r[4] for r in rows], np.array([r[3] for r in rows], np.int64))
-        return [{"piece": r[1], "kind": MARKS, "payload": np.array([r[2], m], np.int64).tobytes()} for r, m in zip(rows, marks.tolist()) if m]
+        return [{"piece": r[1], "kind": MARKS, "payload": np.array([r[2], m], np.int64).tobytes()} for r, m in zip(rows, marks.tolist()) if m and r[1] is not None]
+
+    return lambda batches: blocks(batches, solve, arrow)
+
+
+CLASSES = "shard long, doc_id long, bytes binary"
+
+
+def part_classes():
+    """The classes of each part by its suffix array, with their least ids.  A shard is a block of its own: its number stands in its rows."""
+    arrow = schema_of(CLASSES)
+
+    def solve(rows):
+        contexts = [r[4] for r in rows]
+        ids = np.array([r[3] for r in rows], np.int64)
+        place, number, least, owner, offset = string_classes(contexts, ids)
+        one = np.unique(number, return_index=True)[1]
+        return [{"shard": rows[c][0], "doc_id": int(m), "bytes": contexts[c][o : o + SIZE]} for c, o, m in zip(owner[place[one]].tolist(), offset[place[one]].tolist(), least[number[one]].tolist())]
 
     def run(batches):
-        block, size = [], 0
         for _, rows in by_key(batches, 5):
-            block += rows
-            size += sum(len(r[4]) for r in rows)
-            if size > BLOCK:
-                if found := solve(block):
-                    yield to_batch(found, arrow)
-                block, size = [], 0
-        if block and (found := solve(block)):
-            yield to_batch(found, arrow)
+            found = solve(rows)
+            for k in range(0, len(found), 20_000):
+                yield to_batch(found[k : k + 20_000], arrow)
 
     return run
 
 
-def aggregate_strings(asked: DataFrame) -> DataFrame:
-    """Answers for anchors with very many contexts: each 50-byte string's smallest id by ``groupBy``, and back by a join."""
-    places = F.sequence(F.lit(0), F.octet_length("bytes") - SIZE)
-    each = asked.filter(F.octet_length("bytes") >= SIZE).select("piece", "context", "doc_id", "bytes", F.explode(places).alias("x")).select("piece", "context", "doc_id", "x", F.md5(F.substring("bytes", F.col("x") + 1, SIZE)).alias("s"))
-    least = each.groupBy("s").agg(F.min("doc_id").alias("least"))
-    gone = each.join(least, "s").filter("doc_id > least").groupBy("piece", "context").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("marks"))
-    return gone.select("piece", F.lit(MARKS).alias("kind"), F.to_binary(F.concat(little_hex("context"), little_hex("marks")), F.lit("hex")).alias("payload"))
-
-
-def little_hex(column: str):
-    """A 64-bit number's bytes in hex, the lowest byte first."""
-    text = F.lpad(F.hex(column), 16, "0")
-    return F.concat(*[F.substring(text, p, 2) for p in range(15, 0, -2)])
+def with_other_parts(asked: DataFrame) -> DataFrame:
+    """The contexts of parted anchors, and the strings of each part that another part has with a smaller id (these have no piece)."""
+    own = asked.filter("parted").drop("parted")
+    classes = cut_lineage(own.repartition("shard").sortWithinPartitions("shard").mapInArrow(part_classes(), CLASSES))
+    least = classes.groupBy("bytes").agg(F.min("doc_id").alias("least"))
+    smaller = classes.join(least, "bytes").filter("least < doc_id")
+    return own.union(smaller.select("shard", F.lit(None).cast("long"), F.lit(None).cast("long"), "least", "bytes"))
 
 
 # -- 4: pieces mark and remove -------------------------------------------------
@@ -437,23 +480,23 @@ def removed(p: Piece, said: dict[int, np.ndarray], marks: list[bytes]) -> list[d
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document."""
-    size = input_bytes(docs)
-    pieces = max(512, size >> 20)
-    bits = min(20, max(9, (size >> 20).bit_length()))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece"), "doc_id", "text")
-    sent = dealt.repartition("piece").sortWithinPartitions("piece").mapInArrow(send(bits), SENT)
-    answers = cut_lineage(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer(), ANSWER))
+    size = text_bytes(docs)
+    pieces, bits = max(512, size >> 20), max(9, (size >> 20).bit_length())  # pieces and shards of bounded size, so more of them with the data
+    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece"), "doc_id", "text")
+    sent = dealt_by(texts, size, "piece").sortWithinPartitions("piece").mapInArrow(send(bits), SENT)
+    answers = cut_lineage(dealt_by(sent, size, "shard").sortWithinPartitions("shard").mapInArrow(answer(), ANSWER))
     release(docs.sparkSession)
-    asked = cut_lineage(with_answers(dealt, answers).mapInArrow(show(), ASKED_FOR))
+    asked = cut_lineage(with_answers(texts, answers, size).mapInArrow(show(), ASKED_FOR))
     release(docs.sparkSession)
-    few = asked.filter("not many").select("gram", "piece", "context", "doc_id", "bytes")
-    found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_contexts(), FOUND)
-    found = cut_lineage(found.union(aggregate_strings(asked.filter("many"))))
-    return with_answers(dealt, answers.union(found)).mapInArrow(finish(), RESULT)
+    contexts = asked.filter("not parted").drop("parted")
+    if asked.filter("parted").limit(1).count():
+        contexts = contexts.union(with_other_parts(asked))
+    found = cut_lineage(dealt_by(contexts, size, "shard").sortWithinPartitions("shard").mapInArrow(sort_contexts(), FOUND))
+    return with_answers(texts, answers.union(found), size).mapInArrow(finish(), RESULT)
 
 
-def with_answers(dealt: DataFrame, answers: DataFrame) -> DataFrame:
+def with_answers(texts: DataFrame, answers: DataFrame, size: int) -> DataFrame:
     """Each piece's texts and the answers to it, together and in a row."""
-    texts = dealt.select("piece", F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text")
+    own = texts.select("piece", F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text")
     said = answers.select("piece", "kind", "payload", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    return texts.union(said).repartition("piece").sortWithinPartitions("piece")
+    return dealt_by(own.union(said), size, "piece").sortWithinPartitions("piece")

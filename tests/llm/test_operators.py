@@ -545,7 +545,7 @@ def test_repeats_against_brute_force(spark, small, texts, monkeypatch):
     rows = [(1, "x" * 300), (2, "x" * 49 + "y" + "x" * 50), (3, base), (4, base[50:120] + "ü" + base[100:180] + base[100:180]), (5, base[:49]), (6, base[:50]), (6, base), (7, None), (8, ""), (9, "ab" * 200), (10, "ba" * 200)]
     rows += [(20 + k, "".join(rng.choice("ab") for _ in range(60)) + base[60:160] + "".join(rng.choice("ab") for _ in range(60))) for k in range(60)]
     want = brute_repeats([(i, (t or "").encode()) for i, t in rows])
-    for many in (20_000, 3):  # 3: all anchors with several contexts go the way of hot ones
+    for many in (20_000, 3):  # 3: all anchors with more contexts are cut into parts
         monkeypatch.setattr(suffix_dedup, "MANY", many)
         got = {}
         for r in suffix_dedup.remove_repeats(docs(spark, [(i, t, "a") for i, t in rows])).collect():
