@@ -43,7 +43,7 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
 
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)))
+    return read_back(format_chats(table(spark, sf_dir, "conversations").unionByName(probe, allowMissingColumns=True)))
 
 
 def op7_tiff(spark, sf_dir: str) -> DataFrame:

@@ -358,6 +358,33 @@ def test_layouts(spark):
     assert out[4] == [(None, None)] == out[5]
 
 
+def test_layouts_with_other_fields_lose_no_turn(spark):
+    import json
+
+    from loomspark.llm.chat import canonical_turns, format_chats, read_back, table_turns
+
+    said = [("user", "a"), ("assistant", "b")]
+    records = [
+        {"messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": "b", "tool_calls": [{"id": 1, "function": {"name": "f"}}]}], "meta": {"text": "t"}},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}, {"role": "assistant", "content": "b"}]},
+        {"prompt": "a", "completion": None, "response": "b", "score": 1.5},
+        {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "prompt": "other", "text": "z"},
+        {"question": "a", "answer": "b", "choices": []},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    out = {}
+    for r in canonical_turns(df).orderBy("conv_id", "turn").collect():
+        out.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert out == {i: said for i in range(len(records))}
+    nested = spark.createDataFrame([(1, [("user", "a", 1), ("assistant", "b", None)], "x")], "conv_id long, messages array<struct<role: string, content: string, tool: int>>, extra string")
+    assert [(r.role, r.text) for r in table_turns(nested).orderBy("turn").collect()] == said
+    other = spark.createDataFrame([(3, 1, "assistant", "b\u2028\x00\"\\"), (3, 0, "human", None)], "thread_id long, position int, author string, message string")
+    assert [tuple(r) for r in table_turns(other).orderBy("turn").collect()] == [(3, 0, "human", ""), (3, 1, "assistant", "b\u2028\x00\"\\")]
+    assert read_back(format_chats(other)).first().n_turns == 2
+    with pytest.raises(ValueError):
+        table_turns(spark.createDataFrame([(1, "x")], "a int, b string"))
+
+
 # -- 7 tiff ---------------------------------------------------------------------------
 
 
