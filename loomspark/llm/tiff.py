@@ -4,17 +4,25 @@
 planar samples of 1 to 64 bits, strips or tiles, stored plainly or by
 PackBits, LZW or deflate, with horizontal (2) or floating-point (3)
 differencing.  ``encode_pages`` writes grey 8-bit pages for tests and for
-payload storage.
+payload storage, and ``store_texts`` picks compression, predictor and strips
+or tiles by a hash of the text, so that stored texts go through every decoder.
+
+Memory: a strip or tile is inflated to what it has to hold and no more, and
+pages are handed on by their decoded size, so neither a file that inflates a
+hundredfold nor one of many pages is ever held as a whole; a single page is.
 
 Defined cases: a null or empty medium has no page; a broken one gives the
 pages before the fault and then one row with ``error`` set and no pixels; a
 directory that points back at an earlier one ends the walk; a null id stays
-null; repeated rows give repeated results; other columns are ignored.
+null; repeated rows give repeated results, and equal texts equal media; a null
+text is stored like an empty one, a very long one as several pages; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,11 +41,14 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIP_AT, SAMPLES, R
 TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_SIZE, FORMAT = 322, 323, 324, 325, 339
 FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Decoded bytes that wait to be handed on.
+DECODED = 4 << 20
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """One step a run.  ``most``: bytes that are wanted."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         c = data[i]
         if c < 128:
             out += data[i + 1 : i + 2 + c]
@@ -49,103 +60,141 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run]) + data[i : i + 1]
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of three equal bytes or more, and what lies between them as it is; one step a run."""
+    out, at = bytearray(), 0
+
+    def plain(low: int, high: int) -> None:
+        for k in range(low, high, 128):
+            part = data[k : min(high, k + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in RUN.finditer(data):
+        plain(at, m.start())
+        out.append(257 - len(m[0]))
+        out.extend(m[1])
+        at = m.end()
+    plain(at, len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
-    out, table, width, previous = bytearray(), [], 9, None
-    held = have = 0
-    for byte in data:
-        held, have = (held << 8) | byte, have + 8
-        if have < width:
-            continue
-        have -= width
-        code, held = held >> have, held & ((1 << have) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, previous = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
-            continue
-        if not table:
-            raise ValueError("LZW data does not start with a clear code")
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and previous:
-            entry = previous + previous[:1]
+def lzw_widths() -> np.ndarray:
+    """Bits of the codes that follow a clear code, one after the other; the width grows one code early."""
+    table = 257 + np.arange(3839)  # entries when a code is read: the first one after a clear adds none
+    table[0] = 258
+    return np.where(table >= 2047, 12, np.where(table >= 1023, 11, np.where(table >= 511, 10, 9)))
+
+
+WIDTHS = lzw_widths()
+ENDS = np.cumsum(WIDTHS)
+#: A full table keeps twelve bits a code.
+FULL = 12 * np.arange(1, 4097)
+
+
+def lzw_codes(data: bytes) -> Iterator[tuple[bool, np.ndarray]]:
+    """(whether a clear code goes before them, codes), some thousand at a time, up to the end code or the end of the data."""
+    at, fresh = 9, True
+    while True:
+        ends = ENDS if fresh else FULL
+        first = at >> 3
+        bits = np.unpackbits(np.frombuffer(data[first : (at + int(ends[-1]) + 7) >> 3], np.uint8))[at & 7 :]
+        n = int(np.searchsorted(ends, len(bits), "right"))
+        place = ends[:n, None] - 12 + np.arange(12)  # the last twelve bits up to a code's end
+        width = WIDTHS[:n, None] if fresh else 12
+        codes = (bits[np.maximum(place, 0)] & (np.arange(12) >= 12 - width)) @ (1 << np.arange(12)[::-1])
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        k = int(stop[0]) if len(stop) else n
+        if k or fresh:
+            yield fresh, codes[:k]
+        if not len(stop):
+            if n < len(ends):
+                return
+            at, fresh = at + int(ends[-1]), False
+        elif codes[k] == 257:
+            return
         else:
-            raise ValueError("LZW code out of range")
-        out += entry
-        if previous is not None and len(table) < 4096:
-            table.append(previous + entry[:1])
-        previous = entry
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
-    return bytes(out)
+            at, fresh = at + int(ends[k]), True
+
+
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bit first, taken apart by numpy; one step a code, which stands for several bytes.  ``most``: bytes that are wanted."""
+    if len(data) < 2:
+        return b""
+    if data[0] != 128 or data[1] & 128:
+        raise ValueError("LZW data does not start with a clear code")
+    out, size, table, previous = [], 0, [], b""
+    for fresh, codes in lzw_codes(data):
+        if fresh:
+            table, previous = [*SINGLE, b"", b""], b""
+        for code in codes.tolist():
+            if code < len(table):
+                entry = table[code]
+                if previous and len(table) < 4096:
+                    table.append(previous + entry[:1])
+            elif code == len(table) and previous:
+                entry = previous + previous[:1]
+                table.append(entry)
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(entry)
+            previous = entry
+            size += len(entry)
+            if most is not None and size >= most:
+                return b"".join(out)
+    return b"".join(out)
+
+
+SINGLE = [bytes([i]) for i in range(256)]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    held, have, out = 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, have
-        held, have = (held << width) | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(held >> have)
-            held &= (1 << have) - 1
-
-    fresh = {bytes([i]): i for i in range(256)}
-    table, nxt, width = dict(fresh), 258, 9
-    put(256, 9)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Codes by a table of (code, byte); their bits are put together by numpy."""
+    codes, cuts, table, nxt, code = [256], [], {}, 258, -1
+    get = table.get
+    for c in data:
+        if code < 0:
+            code = c
+            continue
+        key = code << 8 | c
+        longer = get(key)
+        if longer is not None:
+            code = longer
             continue
-        put(table[word], width)
-        table[longer] = nxt
+        codes.append(code)
+        table[key] = nxt
         nxt += 1
+        code = c
         if nxt == 4094:
-            put(256, width)
-            table, nxt, width = dict(fresh), 258, 9
-        else:
-            width = 12 if nxt >= 2048 else 11 if nxt >= 1024 else 10 if nxt >= 512 else 9
-        word = data[i : i + 1]
-    if word:
-        put(table[word], width)
-        nxt += 1
-        width = 12 if nxt >= 2048 else 11 if nxt >= 1024 else 10 if nxt >= 512 else 9
-    put(257, width)
-    if have:
-        out.append((held << (8 - have)) & 0xFF)
-    return bytes(out)
-
-
-def inflate(data: bytes, kind: int) -> bytes:
+            cuts.append(len(codes))
+            codes.append(256)
+            table.clear()
+            nxt = 258
+    if code >= 0:
+        codes.append(code)
+    codes.append(257)
+    values = np.array(codes)
+    width = np.empty(len(values), np.int64)
+    width[0] = 9
+    for a, b in zip([0, *cuts], [*cuts, len(values) - 1]):
+        width[a + 1 : b + 1] = WIDTHS[: b - a]
+    bits = ((values[:, None] >> np.arange(12)[::-1]) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) >= 12 - width[:, None]]).tobytes()
+
+
+def inflate(data: bytes, kind: int, most: int) -> bytes:
+    """At most about ``most`` bytes of a strip or tile: what it has to hold."""
     if kind == PLAIN:
         return data
     if kind in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if kind == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if kind == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     raise ValueError(f"compression {kind} is not supported")
 
 
@@ -222,9 +271,9 @@ def image(media: bytes, order: str, tags: dict) -> tuple[dict, bytes]:
             break
         row, column = divmod(rest, across)
         rows = h if tiled else min(h, height - row * h)
-        data = inflate(media[place : place + size], kind)
+        line = -(-w * own * bits // 8)
+        data = inflate(media[place : place + size], kind, line * rows)
         if bits < 8:
-            line = -(-w * own * bits // 8)
             raw = np.frombuffer(data, np.uint8, line * rows).reshape(rows, line)
             each = np.unpackbits(raw, axis=1).reshape(rows, -1, bits)
             block = (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, : w * own].reshape(rows, w, own)
@@ -294,17 +343,29 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(PAGES))
 
     def run(batches):
+        rows, held = [], 0
         for piece in pieces(batches, column):
-            rows = []
-            for key, data in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                digest = hashlib.sha256(data or b"").hexdigest()
-                rows += [{"doc_id": key, "media_bytes": len(data or b""), "media_sha256": digest} | page for page in decode_pages(data)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for key, data in zip(piece.column(0), piece.column(1)):  # file by file: a piece is not decoded as a whole
+                key, data = key.as_py(), data.as_py() or b""
+                facts = {"doc_id": key, "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+                for page in decode_pages(data):
+                    rows.append(facts | page)
+                    held += len(page.get("pixels") or b"")
+                    if held > DECODED or len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return media.select("doc_id", column).mapInArrow(run, PAGES)
 
 
+def form_of(raw: bytes) -> dict:
+    """How a text is stored: by a hash of its bytes, so that equal texts are stored equally."""
+    h = zlib.crc32(raw)
+    return {"compression": (DEFLATE, LZW, PACKBITS, PLAIN)[h % 4], "predictor": 1 + h // 4 % 2, "tile": (0, 32)[h // 8 % 2]}
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each text's bytes, padded by zeros to a positive multiple of 64, as pages 64 samples wide."""
 
@@ -313,7 +374,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             media = []
             for text in piece.column(1).to_pylist():
                 raw = (text or "").encode()
-                media.append(encode_pages(raw + b"\0" * (-len(raw) % 64 or 64 * (not raw)), description=f"n_bytes={len(raw)}"))
+                media.append(encode_pages(raw + b"\0" * (-len(raw) % 64 or 64 * (not raw)), description=f"n_bytes={len(raw)}", **form_of(raw)))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
@@ -331,7 +392,7 @@ def digest_pages(pages: DataFrame) -> DataFrame:
 
         def close():
             total = max(1, held["payload_bytes"])
-            return {k: held[k] for k in ("doc_id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256")} | {"payload_sha256": held["hash"].hexdigest(), "tail_crc32": zlib.crc32(held["tail"]), "feature": f"pages={held['pages']};width={held['width']};height={held['height']};mean={held['sum'] / total:.6f};distinct={int((held['seen'] > 0).sum())}"}
+            return {k: held[k] for k in ("doc_id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256")} | {"payload_sha256": held["hash"].hexdigest(), "tail_crc32": zlib.crc32(held["tail"]), "feature": f"compression={held['form'][0]};predictor={held['form'][1]};tiled={int(held['form'][2])};pages={held['pages']};width={held['width']};height={held['height']};mean={held['sum'] / total:.6f};distinct={int((held['seen'] > 0).sum())}"}
 
         for batch in batches:
             rows = []
@@ -341,7 +402,7 @@ def digest_pages(pages: DataFrame) -> DataFrame:
                 if row["page"] == 0:
                     if held:
                         rows.append(close())
-                    held = {"doc_id": row["doc_id"], "n_bytes": int(row["description"].removeprefix("n_bytes=")), "payload_bytes": 0, "hash": hashlib.sha256(), "tail": b"", "pages": 0, "height": 0, "width": row["width"], "sum": 0, "seen": np.zeros(256, np.int64), "media_bytes": row["media_bytes"], "media_sha256": row["media_sha256"]}
+                    held = {"doc_id": row["doc_id"], "n_bytes": int(row["description"].removeprefix("n_bytes=")), "payload_bytes": 0, "hash": hashlib.sha256(), "tail": b"", "pages": 0, "height": 0, "width": row["width"], "form": (row["compression"], row["predictor"], row["tiled"]), "sum": 0, "seen": np.zeros(256, np.int64), "media_bytes": row["media_bytes"], "media_sha256": row["media_sha256"]}
                 pixels = row["pixels"]
                 held["hash"].update(pixels)
                 counts = np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)

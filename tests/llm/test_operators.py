@@ -402,9 +402,105 @@ def test_tiff_round_trips():
     assert list(decode_pages(broken[:40]))[-1]["error"] and list(decode_pages(b"no"))[0]["error"] and list(decode_pages(None)) == []
 
 
+def one_page(order, big, planes, bits, kind, predictor, planar, tile, squeeze):
+    """A file with one page, written plainly from the format's description; ``planes``: rows x columns x samples."""
+    import struct
+
+    import numpy as np
+
+    height, width, samples = planes.shape
+    own = 1 if planar else samples
+    chunks = [planes[:, :, k : k + 1] for k in range(samples)] if planar else [planes]
+    h, w = tile or (3, width)
+    data = []
+    for chunk in chunks:
+        for top in range(0, height, h):
+            for left in range(0, width, w):
+                block = chunk[top : top + h, left : left + w]
+                if tile:
+                    block = np.pad(block, ((0, h - block.shape[0]), (0, w - block.shape[1]), (0, 0)))
+                if predictor == 2:
+                    block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+                if predictor == 3:
+                    big_end = block.astype(block.dtype.newbyteorder(">")).reshape(block.shape[0], -1)
+                    raw = np.ascontiguousarray(big_end).view(np.uint8).reshape(block.shape[0], -1, block.dtype.itemsize).transpose(0, 2, 1).reshape(block.shape[0], -1, own)
+                    out = np.diff(raw, axis=1, prepend=np.zeros_like(raw[:, :1])).tobytes()
+                else:
+                    out = np.ascontiguousarray(block).astype(block.dtype.newbyteorder(order)).tobytes() if bits >= 8 else np.packbits(np.unpackbits(block.astype(np.uint8).reshape(block.shape[0], -1, 1), axis=2)[:, :, 8 - bits :].reshape(block.shape[0], -1), axis=1).tobytes()
+                data.append(squeeze(out))
+    head = struct.pack(order + "2sHHHQ", b"II" if order == "<" else b"MM", 43, 8, 0, 16) if big else struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8)
+    fields = {256: (4, [width]), 257: (4, [height]), 258: (3, [bits] * samples), 259: (3, [kind]), 262: (3, [1]), 277: (3, [samples]), 284: (3, [2 if planar else 1]), 317: (3, [predictor]), 339: (3, [3 if planes.dtype.kind == "f" else 1] * samples)}
+    at, size = (324, 325) if tile else (273, 279)
+    fields |= {322: (4, [w]), 323: (4, [h])} if tile else {278: (4, [h])}
+    fields |= {at: (4, [0] * len(data)), size: (4, list(map(len, data)))}
+    entry, extra = (20, 8) if big else (12, 4)
+    place = len(head) + (8 if big else 2) + entry * len(fields) + extra  # behind the directory
+    starts = []
+    blob = b""
+    for d in data:
+        starts.append(place + len(blob))
+        blob += d
+    fields[at] = (4, starts)
+    blob_end, more, entries = place + len(blob), b"", b""
+    for tag in sorted(fields):
+        kind_, values = fields[tag]
+        raw = struct.pack(f"{order}{len(values)}{'H' if kind_ == 3 else 'I'}", *values)
+        if len(raw) > extra:
+            more, raw = more + raw, struct.pack(order + ("Q" if big else "I"), blob_end + len(more))
+        entries += struct.pack(order + ("HHQ" if big else "HHI"), tag, kind_, len(values)) + raw.ljust(extra, b"\0")
+    return head + struct.pack(order + ("Q" if big else "H"), len(fields)) + entries + b"\0" * extra + blob + more
+
+
+def test_tiff_kinds_of_files():
+    """Both byte orders, classic and big files, chunky and planar samples, 1 to 64 bits, whole and floating numbers, strips and tiles, predictors 2 and 3."""
+    import numpy as np
+
+    from loomspark.llm.tiff import DEFLATE, LZW, PACKBITS, PLAIN, decode_pages, lzw_encode, pack_bits
+
+    rng = np.random.default_rng(2)
+    ways = {PLAIN: bytes, DEFLATE: zlib.compress, LZW: lzw_encode, PACKBITS: pack_bits}
+    kinds = [("u1", 1, (1,)), ("u1", 4, (1,)), ("u1", 8, (1, 2)), ("u2", 16, (1, 2)), ("u4", 32, (1, 2)), ("u8", 64, (1, 2)), ("f4", 32, (1, 3)), ("f8", 64, (1, 3))]
+    for order in "<>":
+        for big in (False, True):
+            for dtype, bits, predictors in kinds:
+                for predictor in predictors:
+                    for planar in (False, True):
+                        for tile in (None, (16, 16)):
+                            shape = (7, 21, 3)
+                            planes = rng.normal(size=shape).astype(dtype) if dtype[0] == "f" else rng.integers(0, 2 ** min(bits, 63), shape, dtype=np.uint64).astype(dtype)
+                            kind = [*ways][(bits + predictor + big) % 4]
+                            pages = list(decode_pages(one_page(order, big, planes, bits, kind, predictor, planar, tile, ways[kind])))
+                            assert len(pages) == 1 and pages[0]["error"] is None, (order, big, dtype, bits, predictor, planar, tile, kind, pages)
+                            assert pages[0]["pixels"] == planes.astype(planes.dtype.newbyteorder("<")).tobytes()
+
+
+def test_lzw_and_pack_bits_round_trips():
+    from loomspark.llm.tiff import inflate, lzw_decode, lzw_encode, pack_bits, unpack_bits
+
+    rng = random.Random(6)
+    cases = [b"", b"a", b"ab" * 5000, b"a" * 100_000, os.urandom(60_000), bytes(rng.choice(b"ab") for _ in range(50_000)), bytes(range(256)) * 40]
+    for data in cases:
+        assert lzw_decode(lzw_encode(data)) == data and unpack_bits(pack_bits(data)) == data
+    assert len(inflate(zlib.compress(b"a" * 10_000_000), 8, 4096)) == 4096 and len(lzw_decode(lzw_encode(b"a" * 1_000_000), 4096)) < 10_000
+    with pytest.raises(ValueError):
+        lzw_decode(b"\x00" * 10)
+
+
+def test_tiff_pages_are_handed_on_by_decoded_size(spark, monkeypatch):
+    """A text of one letter stores in a hundredth of its bytes; its pages are still read a few at a time."""
+    from loomspark.llm import tiff
+
+    monkeypatch.setattr(tiff, "DECODED", 1 << 16)
+    row = spark.createDataFrame([(1, "a" * 9_000_000)], "doc_id long, text string")
+    media = tiff.store_texts(row)
+    r = tiff.digest_pages(tiff.read_pages(media)).first()
+    assert r.n_bytes == 9_000_000 and r.payload_bytes == 9_000_000 and tiff.read_pages(media).count() == 3
+    assert tiff.digest_pages(tiff.read_pages(tiff.store_texts(row.limit(0)))).count() == 0
+
+
 def test_tiff_query(spark, small, texts, odd):
     from loomspark.llm.queries import op7_tiff
-    from loomspark.llm.tiff import digest_pages, read_pages, store_texts
+    from loomspark.llm.tiff import decode_pages, digest_pages, form_of, read_pages, store_texts
 
     got = {r.doc_id: r for r in op7_tiff(spark, small).collect()}
     for i, t in texts:
@@ -412,6 +508,14 @@ def test_tiff_query(spark, small, texts, odd):
         payload = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    stored = {r.doc_id: r.media for r in store_texts(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    for i, t in texts:
+        raw, r = t.encode(), got[i]
+        pixels = b"".join(p["pixels"] for p in decode_pages(stored[i]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        form = form_of(raw)
+        assert r.feature == f"compression={form['compression']};predictor={form['predictor']};tiled={int(form['tile'] > 0)};pages=1;width=64;height={len(pixels) // 64};mean={sum(pixels) / len(pixels):.6f};distinct={len(set(pixels))}"
+    assert len({r.feature.split(";pages")[0] for r in got.values()}) == 16
     assert digest_pages(read_pages(store_texts(docs(spark, odd)))).count() == len(odd)
     assert read_pages(spark.createDataFrame([(1, None), (2, b"xx")], "doc_id long, media binary")).count() == 1
 
