@@ -17,12 +17,16 @@ the item is at most (1 - similarity) * n words.
   has none: its windows are held against all items that they share a run with.
 * Every candidate is verified by the exact edit distance.
 
-Items go through in blocks of bounded size, each against all documents.
+Items go through in blocks of bounded size, each against all documents.  The
+index of a block is made once, on the driver, and broadcast; windows are
+embedded and verified in batches of bounded numbers of words, whatever the
+longest item.
 
 Defined cases: null text counts as empty and is clean; null or wordless items
 match nothing; a null document id is reported as null; of equally near windows
-the first is reported; repeated rows give one result row; other columns are
-ignored.
+the first is reported; repeated rows give one result row; without documents or
+items there are no rows; a very long text is as many windows as it has; other
+columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -42,8 +46,8 @@ WORD = re.compile(r"\w+")
 LEAK = "doc_id long, item_id long, distance int, similarity double, start long, end long"
 #: Characters of items in a block, which is broadcast.
 BLOCK = 8_000_000
-#: Windows that are embedded at once.
-WINDOWS = 50_000
+#: Words of windows that are embedded at once, and cells of an edit distance table that are filled at once.
+WINDOWS, CELLS = 1_000_000, 4_000_000
 SAMPLED, PER_WALK = 2, 3
 #: Edited items of a class of lengths that recall is measured on, and the most walks that are made for it.
 EDITED, MOST_WALKS = 256, 200
@@ -90,27 +94,31 @@ def walk(rows: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def edit_distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of padded rows, all rows at once."""
-    m, width = b.shape
-    ramp = np.arange(width + 1)
-    row = np.broadcast_to(ramp, (m, width + 1)).copy()
-    out = np.where(na == 0, nb, 0)
+def edit_distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: int) -> np.ndarray:
+    """Levenshtein distances of padded rows, all rows at once, in a band along the diagonal; what is above ``most`` is told as ``most`` + 1."""
+    m, big, band = len(a), most + 1, 2 * most + 1
+    ramp = np.arange(band, dtype=np.int32)
+    row = np.broadcast_to(np.where(ramp >= most, ramp - most, big), (m, band)).astype(np.int32)
+    lined = np.full((m, max(a.shape[1], b.shape[1]) + band), -2, np.int32)
+    lined[:, most : most + b.shape[1]] = b
+    out = np.where(na == 0, np.minimum(nb, big), big)
     for i in range(1, a.shape[1] + 1):
-        new = np.empty_like(row)
-        new[:, 0] = i
-        new[:, 1:] = np.minimum(row[:, :-1] + (b != a[:, i - 1 : i]), row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-        done = na == i
-        out[done] = row[done, nb[done]]
+        # place j of the band is column i - most + j
+        new = row + (lined[:, i - 1 : i - 1 + band] != a[:, i - 1 : i])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        if i <= most:
+            new[:, : most - i], new[:, most - i] = big, i
+        row = np.minimum(np.minimum.accumulate(new - ramp, axis=1) + ramp, big)
+        at = nb - i + most
+        done = np.flatnonzero((na == i) & (at >= 0) & (at < band))
+        out[done] = row[done, at[done]]
     return out
 
 
 class Items:
     """A block of items: word numbers, the runs that windows are found by, and the tables of sampled walks."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.99, seed: int = 11, tables: dict[int, int] | None = None):
-        """``tables``: those of each class of lengths where they are measured already."""
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.99, seed: int = 11):
         self.similarity = similarity
         found = [(i, WORD.findall((t or "").lower())) for i, t in items]
         found = [(i, w) for i, w in found if w]
@@ -135,7 +143,7 @@ class Items:
         self.seed = seed
         classes = class_of(self.size, similarity)
         self.members = {int(c): np.flatnonzero(classes == c) for c in np.unique(classes)}
-        self.tables = {c: self.needed(m, recall) for c, m in self.members.items()} if tables is None else tables
+        self.tables = {c: self.needed(m, recall) for c, m in self.members.items()}
         self.index = {c: [] for c in self.members}
         for c, members in self.members.items():
             rows, walked = self.rows_of(members), {"size": self.size[members]}
@@ -268,10 +276,11 @@ class Items:
                     pairs.update((i, j) for j in self.sharing(windows[k][2], int(n[k])))
             own = n[of]
             pairs_left = sorted(p for p in pairs if self.size[p[1]] == own[p[0]])
-            step = max(1, 8192 * 64 // max(64, rows.shape[1]))
+            most = int(self.limit[members].max(initial=0)) if len(members := self.members[c]) else 0
+            step = max(1, CELLS // max(64, rows.shape[1] + 2 * most))
             for k in range(0, len(pairs_left), step):
                 left, right = np.array(pairs_left[k : k + step]).T
-                distance = edit_distances(rows[left], size[of][left], self.rows_of(right), self.size[right])
+                distance = edit_distances(rows[left], size[of][left], self.rows_of(right), self.size[right], most)
                 for i, j, d in zip(of[left].tolist(), right.tolist(), distance.tolist()):
                     if d <= self.limit[j]:
                         found.append((windows[i][0], j, d, windows[i][1]))
@@ -280,7 +289,7 @@ class Items:
 
 def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, start, end) in code points: the nearest window of each item in each text."""
-    windows, lengths = [], []
+    windows, lengths, held = [], [], 0
     best: dict[tuple[int, int], tuple[int, int]] = {}
 
     def settle():
@@ -296,8 +305,10 @@ def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]
         for s, n in items.windows(w):
             windows.append((i, s, w[s : s + n]))
             lengths.append(n)
-            if len(windows) == WINDOWS:
+            held += n
+            if held > WINDOWS:
                 settle()
+                held = 0
     settle()
     out = []
     places: dict[int, list] = {}
@@ -311,24 +322,20 @@ def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]
 
 
 def item_blocks(benchmark: DataFrame, similarity: float, recall: float):
-    """Broadcast blocks of items, each of about BLOCK characters, with the tables measured for each class of lengths."""
+    """Broadcast indexes, each made once from about BLOCK characters of items."""
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = size // BLOCK + 1
     for b in range(blocks):
         some = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").collect()
-        items = [(r.item_id, r.text) for r in some]
-        yield benchmark.sparkSession.sparkContext.broadcast((items, Items(items, similarity, recall).tables))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in some], similarity, recall))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs`` without any item, with all their columns."""
     for block in item_blocks(benchmark, similarity, recall):
-        state: dict[str, Items] = {}
 
-        def test(texts, block=block, state=state):
-            if "items" not in state:
-                state["items"] = Items(block.value[0], similarity, recall, tables=block.value[1])
-            items = state["items"]
+        def test(texts, block=block):
+            items = block.value
             leaking = {i for i, *_ in scan(items, [t or "" for t in texts])} if items.ids else set()
             return [i not in leaking for i in range(len(texts))]
 
@@ -343,7 +350,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     for block in item_blocks(benchmark, similarity, recall):
 
         def run(batches, block=block):
-            items = Items(block.value[0], similarity, recall, tables=block.value[1])
+            items = block.value
             if not items.ids:
                 return
             for piece in pieces(batches, "text", most=8 << 20):

@@ -251,6 +251,53 @@ def test_long_items_among_short_ones_are_found(monkeypatch, walks):
         assert len(own & found) >= (0.97 if walks > 1 else 1) * len(own), n
 
 
+def test_leaks_against_all_windows(spark):
+    """Every window of every text against every item by plain edit distance: at least 0.99 of the pairs are found, with their distances, and no other."""
+    import numpy as np
+
+    from loomspark.llm.decontam import Items, edit_distances, find_leaks, limit_of
+
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    bench = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([1, 4, 5, 7, 9, 10, 12, 15, 18, 20, 24])] + [(50, None), (51, "...")]
+    rows = []
+    for k in range(240):
+        w = bench[rng.randrange(11)][1].split()
+        for _ in range(rng.randrange(limit_of(len(w), 0.8) + 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(2))
+            w = w or ["v0"]
+        rows.append((k, " ".join(rng.choices(vocabulary, k=rng.randrange(9)) + w + rng.choices(vocabulary, k=rng.randrange(9))), "a"))
+    want = {}
+    for k, text, _ in rows:
+        w = text.split()
+        for i, item in bench[:11]:
+            b = item.split()
+            d = min(edit(w[s : s + len(b)], b) for s in range(len(w)))
+            if d <= limit_of(len(b), 0.8):
+                want[k, i] = d
+    got = {(r.doc_id, r.item_id): r.distance for r in find_leaks(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(want) > 200 and set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert sum(got[p] == want[p] for p in got) >= 0.99 * len(got)
+    pairs = [([rng.randrange(4) for _ in range(rng.randrange(1, 12))], [rng.randrange(4) for _ in range(rng.randrange(1, 12))]) for _ in range(400)]
+    a, b = (Items.padded([np.array(p[k]) for p in pairs], 12) for k in (0, 1))
+    na, nb = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    for most in (0, 1, 3, 12):
+        assert edit_distances(a, na, b, nb, most).tolist() == [min(edit(*p), most + 1) for p in pairs]
+
+
+def test_windows_of_long_items_are_taken_in_bounded_batches(monkeypatch):
+    from loomspark.llm import decontam
+
+    rng = random.Random(2)
+    bench = [(i, " ".join(f"l{i}_{k}" for k in range(600))) for i in range(3)]
+    items, text = decontam.Items(bench), "x " * 50 + " ".join(w for w in bench[1][1].split() if rng.random() > 0.08) + " y" * 50
+    whole = decontam.scan(items, [text, "", text])
+    monkeypatch.setattr(decontam, "WINDOWS", 5000)
+    monkeypatch.setattr(decontam, "CELLS", 5000)
+    assert [r[:2] for r in whole] == [(0, 1), (2, 1)] and decontam.scan(items, [text, "", text]) == whole
+
+
 def test_exact_leaks_all_found(spark):
     from loomspark.llm.queries import op4_decontamination
 
