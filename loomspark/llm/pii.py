@@ -2,27 +2,30 @@
 
 DataFrame functions only.  Spans of a pattern come from ``split`` and
 ``regexp_extract_all`` with one pattern: the pieces between and the matches
-add up to code point offsets.
+add up to code point offsets, by running sums that double their reach, so a
+text of n matches takes n log n steps.
 
 Disclosure: an entity is a normalised value (an address, a number).  A term is
-a word of the text around an entity.  With N documents, c(e) and c(t) of them
-holding entity and term, and c(t,e) holding the term near the entity, the
-entity's information is log(N / c(e)), and the term's share of it is
-log(c(t,e) N / (c(t) c(e))) / log(N / c(e)).  A term seen near an entity in at
-least ``support`` documents discloses it if its share reaches the threshold.
-Such terms near such entities are spans too (``find``, by the words within
-NEAR characters, as its SQL twin states).  ``clean`` counts terms and entities
-by document over whole texts, c(t,e) being the documents that hold both, and
-puts a general name in place of every entity, and of a disclosing term wherever
-it stands, in documents without the entity too.
+a word outside of the base spans: one of 4 letters or more in lower case, or a
+shorter one that begins like a name, as it is written.  With N documents, c(e)
+and c(t) of them holding entity and term, and c(t,e) holding both, anywhere in
+their whole texts, the entity's information is log(N / c(e)), and the term's
+share of it is log(c(t,e) N / (c(t) c(e))) / log(N / c(e)).  A term that shares
+at least ``support`` documents with an entity discloses it if its share reaches
+the threshold.  Such a term is a span wherever it stands, in documents without
+the entity too.  ``find`` gives the spans; ``clean`` puts general names in
+place: the kind of an entity, and of a term whether it is written like a name.
 
 Statistics: document counts of all words of all documents, by aggregates with
 a map-side step; entities and pairs count once a document, so a hot entity is
 as cheap as any other.
 
 Defined cases: null text counts as empty and has no spans; a null id is kept;
-rows that repeat id and text get the same spans; other columns are kept by
-``clean`` and ignored by ``find``.
+rows that repeat id and text get the same spans and count once for entities;
+of spans that overlap, ``clean`` keeps the first general name, and of equal
+starts the shorter span's; an empty table gives no rows; a very long text is
+one like any other; other columns are kept by ``clean``, under any name, and
+ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import cut_lineage
+from loomspark.llm.common import cut_lineage, fresh
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # fixed values: the base patterns, with possessive repeats and anchors that keep a search linear and change no kept match
@@ -40,30 +43,41 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
-TERM = r"\p{L}{4,}"
-#: Terms of whole texts: words of 4 letters or more in lower case, and shorter ones that begin like a name, as they are written.
-NAME = r"\p{L}{4,}|(?<!\p{L})[\p{Lu}\p{Lt}\p{Lo}]\p{L}{0,2}(?!\p{L})"
-#: Characters around an entity whose words are held to be near it.
-NEAR = 80
-#: Documents in which a term must stand near an entity, and the share of the entity's information that it must give.
+#: Terms: words of 4 letters or more, and shorter ones that begin like a name.
+TERM = r"\p{L}{4,}+|(?<!\p{L})[\p{Lu}\p{Lt}\p{Lo}]\p{L}{0,2}(?!\p{L})"
+LIKE_A_NAME = r"^[\p{Lu}\p{Lt}\p{Lo}]"
+#: Documents that a term must share with an entity, and the share of the entity's information that it must give.
 SUPPORT, SHARE = 2, 0.8
 #: Bytes, of seven bits each, of the filter that tells most words that are no disclosing terms before they are shuffled.
 SIEVE = 1 << 16
-PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "name": "[NAME]", "term": "[TERM]"}
+#: Characters of the pieces that a text is cut into to be rebuilt: places in a string are counted from its start.
+PIECE = 4096
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """``join`` of all values up to each place; every step doubles the reach, so n values take n log n steps."""
+    reaches = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(reaches, values, lambda held, reach: F.transform(held, lambda x, i: F.when(i >= reach, join(x, F.get(held, i - reach))).otherwise(x)))
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value), leftmost and without overlaps; code points, the end exclusive."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # a column stays one
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("value")))
-    empty = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,value:string>>))")
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+    def spans(found):
+        def placed(pieces):
+            lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+            return F.zip_with(found, running(lengths, lambda a, b: a + b), lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), placed)).otherwise(F.array().cast(SPANS))
 
-    return F.when(F.size(found) > 0, F.aggregate(both, empty, step)["spans"]).otherwise(empty["spans"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)  # a column stays one
 
 
 def luhn(digits: Column) -> Column:
@@ -89,51 +103,6 @@ def base_spans(text: Column) -> dict[str, Column]:
     return found
 
 
-def base_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, email, ip, card, phone, near): spans by kind, h an identity of the text, near the texts around each entity."""
-    text = F.coalesce("text", F.lit(""))
-    spans = docs.select("doc_id", text.alias("text")).withColumns(base_spans(F.col("text")))
-
-    def around(kind):
-        def one(x):
-            low = F.greatest(F.lit(0), x["start"] - NEAR)
-            entity = entity_of(kind, x["value"])
-            left = F.substring(F.col("text"), low + 1, x["start"] - low)
-            right = F.substring(F.col("text"), x["end"] + 1, F.lit(NEAR))
-            return F.array(F.struct(entity.alias("entity"), low.alias("at"), left.alias("said")), F.struct(entity.alias("entity"), x["end"].alias("at"), right.alias("said")))
-
-        return F.flatten(F.transform(F.col(kind), one))
-
-    near = F.concat(*[around(k) for k in KINDS[:4]])
-    return spans.select("doc_id", F.md5("text").alias("h"), *KINDS[:4], near.alias("near"))
-
-
-def document_counts(docs: DataFrame) -> DataFrame:
-    """(term, df): in how many documents each word stands, over all whole texts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def disclosing(mentions: DataFrame, counts: DataFrame, n_docs: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(entity, term, share) of the terms that disclose an entity.  ``mentions``: (doc, entity, terms), once a document and entity."""
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support)
-    pairs = mentions.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("cte")).filter(F.col("cte") >= support)
-    known = pairs.join(entities, "entity").join(counts, "term")
-    information = F.log(F.lit(float(n_docs)) / F.col("ce"))
-    given = F.log(F.col("cte") * F.lit(float(n_docs)) / (F.col("df") * F.col("ce")))
-    return known.withColumn("share", F.when(information > 0, given / information)).filter(F.col("share") >= share).select("entity", "term", "share")
-
-
-def term_spans(base: DataFrame, docs: DataFrame, n_docs: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(doc_id, h, term): spans of disclosing terms near the entities that they disclose."""
-    near = base.filter(F.size("near") > 0).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.entity", "x.at", matches(F.col("x.said"), TERM).alias("found"))
-    # rows of a document meet in its hash partition; an entity counts once a document
-    mentions = near.groupBy("doc_id", "h", "entity").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda m: F.lower(m["value"]))))).alias("terms"))
-    good = disclosing(mentions, document_counts(docs), n_docs, support, share)
-    places = near.select("doc_id", "h", "entity", "at", F.explode("found").alias("m")).select("doc_id", "h", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
-    return places.join(good, ["entity", "term"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
-
-
 def digest(kinds: tuple[str, ...]) -> Column:
     def each(kind):  # a default argument would make the function take the index
         return F.transform(F.col(kind), lambda x: F.concat(F.lit(kind + ":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
@@ -142,28 +111,31 @@ def digest(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*parts), ",")
 
 
-def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(doc_id, h, email, ip, card, phone, term): one row per document, spans by kind."""
-    base = cut_lineage(base_table(docs))
-    terms = term_spans(base, docs, base.count(), support, share).withColumnsRenamed({"doc_id": "of", "h": "oh"})
-    joined = base.drop("near").join(terms, (F.col("h") == F.col("oh")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of", "oh")
-    return joined.withColumn("term", F.coalesce("term", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
-
-
 def report(found: DataFrame) -> DataFrame:
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(digest(KINDS[:4]), 256).alias("base_sha256"), digest(KINDS).alias("spans"))
 
 
+def between(pieces: Column, low: Column, high: Column) -> Column:
+    """The characters from ``low`` to ``high`` of a text that is cut into pieces."""
+    i, j = F.floor(low / PIECE).cast("int"), F.floor(high / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    apart = F.concat(F.substring(piece(i), low % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substring(piece(j), F.lit(1), high % PIECE))
+    return F.when(i == j, F.substring(piece(i), low % PIECE + 1, high - low)).otherwise(apart)
+
+
 def rebuilt(text: Column, marks: Column, put) -> Column:
-    """The text with ``put(at, mark)`` for its sorted marks; ``at`` is where the marks before end."""
+    """The text with ``put(at, mark)`` for its sorted marks (start, end, ...), one at least; ``at`` is where the marks before end."""
 
-    def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, put(acc["at"], x)).alias("out"))
+    def of_pieces(pieces):
+        def of_ends(ends):
+            before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+            parts = F.zip_with(marks, before, lambda x, at: F.concat(between(pieces, at, F.greatest(at, x["start"])), put(at, x)))
+            return F.concat(F.array_join(parts, ""), between(pieces, F.element_at(ends, -1), F.length(text)))
 
-    built = F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(built["out"], F.substring(text, built["at"] + 1, F.length(text)))
+        return let(running(F.transform(marks, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), of_ends)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of_pieces)
 
 
 def entity_of(kind: str, value: Column) -> Column:
@@ -179,26 +151,42 @@ def blanked(text: Column, marks: Column) -> Column:
     return F.when(F.size(marks) > 0, rebuilt(text, marks, lambda at, x: F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - F.greatest(at, x["start"]))))).otherwise(text)
 
 
-def whole_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, email, ip, card, phone, entities, words): base spans, different entities, and different words outside of these spans as written."""
+def base_marks(put: bool = False) -> Column:
+    """The base spans of all kinds, sorted; ``put``: each with its general name."""
+
+    def of(kind):
+        name = [F.lit(PUT[kind]).alias("put")] if put else []
+        return F.transform(F.col(kind), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), *name))
+
+    return F.array_sort(F.concat(*[of(k) for k in KINDS[:4]]))
+
+
+def base_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, email, ip, card, phone, entities, words): base spans, different entities, and the different words outside of these spans as written, in a row."""
     spans = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(base_spans(F.col("text")))
     entities = F.array_distinct(F.concat(*[entities_of(k) for k in KINDS[:4]]))
-    marks = F.array_sort(F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS[:4]]))
-    words = F.array_distinct(F.regexp_extract_all(blanked(F.col("text"), marks), F.lit(NAME), F.lit(0)))
-    return spans.select("doc_id", F.md5("text").alias("h"), *KINDS[:4], entities.alias("entities"), words.alias("words"))
+    words = F.array_distinct(F.regexp_extract_all(blanked(F.col("text"), base_marks()), F.lit(TERM), F.lit(0)))
+    bare = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS[:4]]
+    return spans.select("doc_id", F.md5("text").alias("h"), *bare, entities.alias("entities"), F.array_join(words, " ").alias("words"))
 
 
 def entities_of(kind: str) -> Column:
     return F.transform(F.col(kind), lambda x: entity_of(kind, x["value"]))
 
 
+def words_of(words: str = "words") -> Column:
+    """The words that stand in a row; none of an empty one."""
+    return F.filter(F.split(words, " "), lambda w: w != "")
+
+
 def disclosing_terms(base: DataFrame, n_docs: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(term): terms that disclose an entity by the documents that hold both.
 
     c(t,e) is c(e) at most, so a term in more than c(e) (N / c(e)) ** (1 - share)
     documents cannot reach the share; only rarer ones are paired.
     """
-    counts = base.select(F.explode(F.array_distinct(F.transform("words", term_of))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support)
+    terms = F.array_distinct(F.transform(words_of(), term_of))
+    counts = base.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support)
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("h")).alias("key")
     holding = base.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "h"]).select(key, "entities", "words")
     mentions = holding.select("key", F.explode("entities").alias("entity"))
@@ -208,7 +196,7 @@ def disclosing_terms(base: DataFrame, n_docs: int, support: int = SUPPORT, share
     most = mentions.agg(F.max("most")).first()[0]
     if most is None:
         return counts.select("term").limit(0)
-    said = holding.join(mentions.select("key").distinct(), "key", "left_semi").select("key", F.explode(F.array_distinct(F.transform("words", term_of))).alias("term"))
+    said = holding.join(mentions.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms).alias("term"))
     rare = said.join(counts.filter(F.col("df") <= most), "term")
     pairs = mentions.join(rare, "key").filter(F.col("df") <= F.col("most")).groupBy("entity", "term").agg(F.count("*").alias("cte"), F.min("ce").alias("ce"), F.min("df").alias("df"))
     information = F.log(F.lit(float(n_docs)) / F.col("ce"))
@@ -232,28 +220,46 @@ def sieve(good: DataFrame):
     return passes
 
 
-def clean(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """The documents with general names in place of personal data and of disclosing terms; all columns stay, ``n_chars`` is renewed."""
-    base = cut_lineage(whole_table(docs))
+def term_words(base: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """(oh, terms): of each text with disclosing terms, these as it writes them.  The words of a text depend on it alone."""
     good = cut_lineage(disclosing_terms(base, base.count(), support, share))
-    # the words of a text depend on it alone
     passes = sieve(good)
-    terms = base.select(F.col("h").alias("oh"), F.explode(F.filter("words", lambda w: passes(term_of(w)))).alias("word")).withColumn("term", term_of(F.col("word"))).join(good, "term", "left_semi").groupBy("oh").agg(F.collect_set("word").alias("__terms"))
-    held = base.select("doc_id", "h", *KINDS[:4]).join(terms, F.col("h") == F.col("oh"), "left").drop("oh")
-    held = held.filter("__terms is not null or " + " or ".join(f"size({k}) > 0" for k in KINDS[:4])).dropDuplicates(["doc_id", "h"])
-    marks = held.withColumnsRenamed({"doc_id": "__of", "h": "__h"} | {k: f"__{k}" for k in KINDS[:4]})
+    maybe = base.select(F.col("h").alias("oh"), F.explode(F.filter(words_of(), lambda w: passes(term_of(w)))).alias("word"))
+    return maybe.withColumn("term", term_of(F.col("word"))).join(good, "term", "left_semi").groupBy("oh").agg(F.collect_set("word").alias("terms"))
+
+
+def term_spans(text: Column, marks: Column, terms: Column) -> Column:
+    """Spans of the given words outside of the marks."""
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
+    return matches(blanked(text, marks), pattern)
+
+
+def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """(doc_id, h, email, ip, card, phone, term): one row per document, spans by kind."""
+    base = cut_lineage(base_table(docs))
+    terms = cut_lineage(term_words(base, support, share))
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(marks, (F.md5(text) == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__of")), "left")
+    # only texts with disclosing terms are read again
+    told = docs.select("doc_id", text.alias("text"), F.md5(text).alias("th")).join(terms, F.col("th") == F.col("oh")).dropDuplicates(["th"]).select("th", "text", "terms")
+    placed = told.withColumns(base_spans(F.col("text"))).select("th", F.transform(term_spans(F.col("text"), base_marks(), F.col("terms")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("term"))
+    joined = base.drop("entities", "words").join(placed, F.col("h") == F.col("th"), "left").drop("th")
+    return joined.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")))
 
-    def put(kind):
-        return F.transform(F.col(f"__{kind}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PUT[kind]).alias("put")))
 
-    found = F.array_sort(F.concat(*[put(k) for k in KINDS[:4]]))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))
-    named = F.transform(matches(blanked(text, found), pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(PUT["term"]).alias("put")))
-    every = F.when(F.col("__terms").isNull(), found).otherwise(F.array_sort(F.concat(found, named)))
-    built = rebuilt(text, every, lambda at, x: F.when(x["start"] >= at, x["put"]).otherwise(F.lit("")))
-    new = joined.withColumn("text", F.when(F.col("__h").isNull(), F.col("text")).otherwise(built))
+def clean(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """The documents with general names in place of personal data and of disclosing terms; all columns stay, ``n_chars`` is renewed."""
+    base = cut_lineage(base_table(docs))
+    held = base.select("h", *KINDS[:4]).join(term_words(base, support, share), F.col("h") == F.col("oh"), "left").drop("oh")
+    some = "terms is not null or " + " or ".join(f"size({k}) > 0" for k in KINDS[:4])
+    own, marks, terms = fresh(docs, "h_", "marks_", "terms_")
+    held = held.filter(some).dropDuplicates(["h"]).select(F.col("h").alias(own), base_marks(put=True).alias(marks), F.col("terms").alias(terms))
+    text = F.coalesce("text", F.lit(""))
+    joined = docs.join(held, F.md5(text) == F.col(own), "left")
+    general = lambda word: F.when(word.rlike(LIKE_A_NAME), PUT["name"]).otherwise(PUT["term"])
+    named = F.transform(term_spans(text, F.col(marks), F.col(terms)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), general(x["value"]).alias("put")))
+    every = F.when(F.col(terms).isNull(), F.col(marks)).otherwise(F.array_sort(F.concat(marks, named)))
+    built = let(every, lambda found: rebuilt(text, found, lambda at, x: F.when(x["start"] >= at, x["put"]).otherwise(F.lit(""))))
+    new = joined.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(built))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__h").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        new = new.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return new.select(*docs.columns)

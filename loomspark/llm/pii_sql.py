@@ -9,9 +9,6 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{4,}"
-
-
 def spans(text: str, pattern: str) -> str:
     """A list of (s, e, v): matches and the pieces between them add up to offsets."""
     m, p = f"regexp_extract_all({text}, '{pattern}')", f"regexp_split_to_array({text}, '{pattern}')"
@@ -37,27 +34,27 @@ KEEP = {
 ENTITY = {"email": "lower(x.v)", "ip": "x.v", "card": digits("x.v"), "phone": digits("x.v")}
 
 
-def query(near: int = 80, support: int = 2, share: float = 0.8) -> str:
+def query(support: int = 2, share: float = 0.8) -> str:
     found = ", ".join(f"list_filter({spans('text', p)}, lambda y: {KEEP[k]}) as {k}" for k, p in PATTERNS.items())
-    sides = []
-    for k in PATTERNS:
-        low = f"greatest(0, x.s - {near})"
-        sides.append(f"select doc_id, '{k}:' || {ENTITY[k]} as entity, {low} as off, substr(text, {low} + 1, x.s - {low}) as said from b, unnest({k}) u(x)")
-        sides.append(f"select doc_id, '{k}:' || {ENTITY[k]} as entity, x.e as off, substr(text, x.e + 1, {near}) as said from b, unnest({k}) u(x)")
+    entities = " union ".join(f"select doc_id, '{k}:' || {ENTITY[k]} as entity from b, unnest({k}) u(x)" for k in PATTERNS)
     shown = lambda k: f"list_transform({k}, lambda x: '{k}:' || x.s || ':' || x.e)"
     base = "list_concat(list_concat({}, {}), list_concat({}, {}))".format(*[shown(k) for k in PATTERNS])
+    marks = "list_concat(list_concat({}, {}), list_concat({}, {}))".format(*PATTERNS)
     counts = ", ".join(f"cast(len({k}) as bigint) as n_{k}" for k in PATTERNS)
-    return f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+    return rf"""with d as (select doc_id, coalesce(text, '') as text from documents),
 b as (select doc_id, text, {found} from d),
-near as ({' union all '.join(sides)}),
-words as (select doc_id, entity, off, {spans('said', TERM)} as w from near),
-each as (select distinct doc_id, entity, lower(x.v) as term, off + x.s as s, off + x.e as e from words, unnest(w) u(x)),
-pairs as (select entity, term, count(distinct doc_id) as cte from each group by 1, 2 having count(distinct doc_id) >= {support}),
-entities as (select entity, count(distinct doc_id) as ce from near group by 1 having count(distinct doc_id) >= {support}),
-dfs as (select term, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from d) group by 1),
+o as (select doc_id, case when len({marks}) = 0 then text else array_to_string(list_transform(string_split(text, ''), lambda c, i: case when len(list_filter({marks}, lambda m: m.s < i and i <= m.e)) > 0 then ' ' else c end), '') end as said from b),
+g as (select doc_id, unnest(regexp_extract_all(said, '\p{{L}}+')) as v, unnest(regexp_split_to_array(said, '\p{{L}}+')) as gap, unnest(range(len(regexp_extract_all(said, '\p{{L}}+')) + 1)) as i from o),
+w as (select doc_id, v, sum(length(gap) + length(v)) over (partition by doc_id order by i) as e from g where v is not null),
+t as (select doc_id, case when length(v) >= 4 then lower(v) else v end as term, cast(e - length(v) as bigint) as s, cast(e as bigint) as e from w where length(v) >= 4 or regexp_matches(v, '^[\p{{Lu}}\p{{Lt}}\p{{Lo}}]')),
+once as (select distinct doc_id, term from t),
+dfs as (select term, count(*) as df from once group by 1),
+mentions as ({entities}),
+ents as (select entity, count(*) as ce from mentions group by 1 having count(*) >= {support}),
+pairs as (select entity, term, count(*) as cte from mentions join ents using (entity) join once using (doc_id) group by 1, 2 having count(*) >= {support}),
 n as (select count(*)::double as n from d),
-good as (select entity, term from pairs join entities using (entity) join dfs using (term), n where n / ce > 1 and ln(cte * n / (df * ce)) / ln(n / ce) >= {share}),
-terms as (select doc_id, list_sort(list(distinct {{'s': s, 'e': e}})) as term from each join good using (entity, term) group by 1)
+good as (select distinct term from pairs join ents using (entity) join dfs using (term), n where n / ce > 1 and ln(cte * n / (df * ce)) / ln(n / ce) >= {share}),
+terms as (select doc_id, list_sort(list({{'s': s, 'e': e}})) as term from t join good using (term) group by 1)
 select doc_id, {counts}, cast(coalesce(len(term), 0) as bigint) as n_term, sha256(array_to_string({base}, ',')) as base_sha256,
   array_to_string(list_concat({base}, coalesce({shown('term')}, [])), ',') as spans
 from b left join terms using (doc_id)"""
