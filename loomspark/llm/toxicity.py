@@ -2,10 +2,10 @@
 
 1. A character language model: four-gram counts over all documents, summed by
    Spark; the alphabet is folded to 28 classes, so the model has a fixed size.
-2. Restoration: a token with digits or signs among letters, letters that are
-   repeated three times or more, or letters that stand apart, becomes a
-   lattice: each sign may be itself or a letter, a run may be one letter or
-   two, separators may vanish or end a word.  Letters that stand apart are one
+2. Restoration: a token with digits or signs among letters or of signs alone,
+   letters that are repeated three times or more, or letters that stand apart,
+   becomes a lattice: each sign may be itself or a letter, a run of a letter or
+   a sign may be one or two, separators may vanish or end a word.  Letters that stand apart are one
    lattice from the first to the last, over any white space between them.
    Viterbi decoding over the last three classes finds the likeliest letters
    and words under channel and language model.  A token
@@ -15,7 +15,7 @@
    most toxic documents not explained so far, among features that are precise.
    Copies of a text count once.
 4. A document's score is 1 - prod(1 - p) over its distinct lexicon features in
-   the text as it stands and as restored, with a base rate.
+   the restored text, with a base rate.
 
 Learning sees labels of rows whose crc32 of the id is not 0 modulo 5; a score
 sees nothing but the text.
@@ -23,7 +23,10 @@ sees nothing but the text.
 Defined cases: null and empty texts get the base rate; without labels (or none
 that are toxic) every document gets the base rate; null labels are ignored; of
 several labels of a document the larger counts; a null id is never learned
-from; repeated rows give repeated results; other columns are ignored.
+from; repeated rows give repeated results; of equally likely restorations the
+first option of the lattice stands; a very long text is read as a whole, token
+by token; an empty table gives no rows; other columns are ignored by
+``toxicity`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ from loomspark.llm.common import cut_lineage, keep_rows, map_text, pieces
 SCHEMA = "doc_id long, score double"
 #: Most labelled documents that the lexicon is learned from.
 SAMPLE = 16_000
-#: Candidate features of the lexicon, and how it is chosen.
-CANDIDATES, LEAST_DOCS, PRECISION = 20_000, 4, 0.92
+#: How the lexicon is chosen: toxic documents of a feature, and their share of all that have it.
+LEAST_DOCS, PRECISION = 4, 0.92
 #: Toxic documents that a feature must be in to be taken for fewer than LEAST_DOCS of its own.
 CLEAR = 8
 BASE = 0.02
@@ -55,7 +58,7 @@ OTHER, ALPHABET = 27, 28  # 26: outside of words
 # fixed values: signs that stand for letters
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 SEPARATORS = ".-_*~'"
-AMBIGUOUS = re.compile(r"[^\W\d_][0-9@$!|+€£(]|[0-9@$!|+€£(][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_]", re.I)
+AMBIGUOUS = re.compile(r"[^\W\d_][0-9@$!|+€£(]|[0-9@$!|+€£(][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_]|^(?=.*[@$!|+€£(])[0-9@$!|+€£(]{3,}$", re.I)
 APART = re.compile(r"(?<!\S)(?:[\w@$!|+€£(](?:[.\-_*~]|\s+)){2,}[\w@$!|+€£(](?!\w)")
 EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 SWAP, DROP, KEEP = math.log(0.15), math.log(0.3), math.log(0.5)
@@ -201,10 +204,8 @@ class Reader:
 
     def of_token(self, token: str) -> tuple[str, ...]:
         word = EDGES.sub("", token).lower()
-        found = features(word)
         again = self.restorer.restored(word)
-        if again:
-            found += [f for w in again.split() for f in features(w)]
+        found = features(word) if again is None else [f for w in again.split() for f in features(w)]
         return tuple(found if self.lexicon is None else [f for f in found if f in self.lexicon])
 
     def of_run(self, run: str) -> tuple[str, ...]:
@@ -254,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, model) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([a[x] for x in some], pa.int64()), pa.array([b[x] for x in some], pa.int64())], schema=arrow)
 
     totals = read.mapInArrow(count, counted).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    good = totals.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b")))).orderBy(F.desc("a"), "b", "feature").limit(CANDIDATES).collect()
+    good = totals.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b")))).collect()  # bounded by the sample
     weight = {r.feature: (r.a, r.b) for r in good}
     if not weight:
         return {}

@@ -68,6 +68,42 @@ def test_toxicity_restores_spaced_words_in_their_places(spark, texts):
         assert {w + "$" for w in words} <= reader.read(text), text
 
 
+def test_viterbi_against_all_paths(spark, texts):
+    """The decoded string of short tokens is as likely as the likeliest of all paths through the lattice."""
+    import itertools
+
+    from loomspark.llm.toxicity import FOLD, Restorer, language_model
+
+    r = Restorer(language_model(docs(spark, [(i, t, "a") for i, t in texts])))
+
+    def total(path):
+        score, held = 0.0, (26, 26, 26)
+        for letters, cost in path:
+            score += cost
+            for letter in letters:
+                k = int(FOLD[min(ord(letter), 0x250)])
+                score += float(r.model[(*held, k)])
+                held = (*held[1:], k)
+        return score
+
+    for token, apart in [("1d10t", False), ("st000pid", False), ("4$$", False), ("$h1t!", False), ("a.b-c", False), ("l00oo0ser", False), ("s t u p 1 d", True), ("a  b\nc", True), ("x", False), ("6|8", False)]:
+        every = {}
+        for path in itertools.product(*r.lattice(token, apart), [(" ", 0.0)]):
+            text = "".join(letters for letters, _ in path).strip()
+            every[text] = max(every.get(text, -1e9), total(path))
+        best = max(every.values())
+        assert abs(every[r.decode(token, apart)] - best) < 1e-4, (token, r.decode(token, apart), every)
+
+
+def test_scores_come_from_restored_text(spark, texts):
+    from loomspark.llm.toxicity import Reader, language_model
+
+    reader = Reader(language_model(docs(spark, [(i, t + " idiot stupid loser asset", "a") for i, t in texts])))
+    assert "idiot$" in reader.read("1d10t") and "1d10t$" not in reader.read("1d10t")
+    assert "4$$$" not in reader.read("4$$") or reader.restorer.restored("4$$") is None
+    assert "2024$" in reader.read("in 2024") and "plain$" in reader.read("plain")
+
+
 def test_toxicity_odd_rows(spark, odd):
     from loomspark.llm.toxicity import keep_clean, toxicity
 
