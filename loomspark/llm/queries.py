@@ -106,6 +106,6 @@ from d left join s using (doc_id)"""
 
 def oracle_sql() -> dict[str, str]:
     """Twins where SQL can express an operator; the others are held against brute force by tests."""
-    from loomspark.llm.pii_sql import query
+    from loomspark.llm import mixing, pii_sql, secrets_sql
 
-    return {"op2_pii": query(), "op6_chat_format": CHAT_SQL, "op9_suffix_dedup": REPEATS_SQL}
+    return {"op2_pii": pii_sql.query(), "op3_mixing": mixing.query(), "op5_secret_scan": secrets_sql.query(), "op6_chat_format": CHAT_SQL, "op9_suffix_dedup": REPEATS_SQL}
