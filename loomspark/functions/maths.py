@@ -70,8 +70,10 @@ def cut_equal(df: DataFrame, column: str, n: int, out: str) -> DataFrame:
 
 def cut_quantiles(df: DataFrame, column: str, q: int, out: str, fit: DataFrame | None = None) -> DataFrame:
     """q bins from 1 by exact quantiles of ``fit`` (or of ``df`` itself), right-closed."""
+    from loomspark.operators.ranks import quantiles
+
     at = [i / q for i in range(1, q)]
-    edges = (df if fit is None else fit).agg(F.percentile(column, F.array(*[F.lit(a) for a in at])).alias("__q"))
+    edges = quantiles(df if fit is None else fit, column, at).withColumnRenamed("q", "__q")
     bin_ = None
     for i in range(q - 1):
         test = F.col(column) <= F.col("__q")[i]

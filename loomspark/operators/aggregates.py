@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.columns import numeric
+from loomspark.operators.ranks import quantiles, ranked_values, small
 
 
 def by(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
@@ -26,10 +27,18 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max of each column, a row each, in one pass."""
-    stat = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max"))
-    wide = df.agg(*[stat(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    return wide.select(F.explode(F.array(*wide.columns)).alias("r")).select("r.column", "r.count", "r.mean", "r.std", "r.min", F.col("r.q")[0].alias("q25"), F.col("r.q")[1].alias("q50"), F.col("r.q")[2].alias("q75"), "r.max")
+    """count, mean, std, min, exact quartiles and max of each column, a row each."""
+    at = [0.25, 0.5, 0.75]
+    plain = lambda c: [F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("min")]
+    if small(df):
+        wide = df.agg(*[F.struct(*plain(c), F.percentile(c, F.array(*map(F.lit, at))).alias("q"), F.max(c).cast("double").alias("max")).alias(f"c{i}") for i, c in enumerate(columns)])
+    else:
+        wide = df.agg(*[F.struct(*plain(c), F.max(c).cast("double").alias("max")).alias(f"p{i}") for i, c in enumerate(columns)])
+        for i, c in enumerate(columns):
+            wide = wide.crossJoin(F.broadcast(quantiles(df, c, at).withColumnRenamed("q", f"q{i}")))  # one row
+        wide = wide.select(*[F.col(f"p{i}").withField("q", F.col(f"q{i}")).alias(f"c{i}") for i in range(len(columns))])
+    one = wide.select(F.explode(F.array(*[F.struct(*[F.col(f"c{i}.{n}").alias(n) for n in ("column", "count", "mean", "std", "min", "q", "max")]) for i in range(len(columns))])).alias("r"))
+    return one.select("r.column", "r.count", "r.mean", "r.std", "r.min", F.col("r.q")[0].alias("q25"), F.col("r.q")[1].alias("q50"), F.col("r.q")[2].alias("q75"), "r.max")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,11 +83,19 @@ def zero_filled(df: DataFrame, value: Column, n: int, name: str) -> DataFrame:
 
 
 def box_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = by(df, keys, low=F.min(column), q=q, high=F.max(column))
+    at = [0.25, 0.5, 0.75]
+    if small(df):
+        out = by(df, keys, low=F.min(column), q=F.percentile(column, F.array(*map(F.lit, at))), high=F.max(column))
+    else:
+        out = by(df, keys, low=F.min(column), high=F.max(column)).join(quantiles(df.dropna(subset=keys), column, at, keys), keys)
     return out.select(*keys, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "high")
 
 
+def group_median(df: DataFrame, keys: list[str], column: str, out: str = "median") -> DataFrame:
+    """Exact medians of groups that may be of any size."""
+    return quantiles(df.dropna(subset=keys), column, [0.5], keys).select(*keys, F.col("q")[0].alias(out))
+
+
 def share_of(df: DataFrame, keys: list[str], within: list[str], digits: int = 2) -> DataFrame:
     """Percentages of a group's count in that of its ``within`` group."""
     counts = by(df, keys, n=F.count("*"))
@@ -114,17 +131,13 @@ def average_rank(value: Column, keys: list[Column] = ()) -> Column:
 
 def value_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average ranks over a whole table: counts of distinct values are ranked instead of rows, and joined back."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn(out, before + (F.col("__n") + 1) / F.lit(2.0).cast("double")).drop("__n")
+    ranked = ranked_values(df, column).select(column, (F.col("before") + (F.col("n") + 1) / F.lit(2.0).cast("double")).alias(out))
     return df.join(ranked, column)
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by rank sums; one row."""
-    counts = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("r", before + (F.col("n") + 1) / F.lit(2.0).cast("double"))
+    ranked = ranked_values(df.select(F.col(score).alias("v"), F.col(label).cast("long").alias("y")), "v", p=F.sum("y")).withColumn("r", F.col("before") + (F.col("n") + 1) / F.lit(2.0).cast("double"))
     one = ranked.agg(F.sum(F.col("r") * F.col("p")).alias("ranks"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
     return one.select(F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspark.sources.readers import remembered
 
-KINDS = ("next_click", "prev_click", "count", "add_counts", "nunique", "var", "mean", "cumcount")
+KINDS = ("next_click", "prev_click", "count", "add_counts", "nunique", "var", "mean", "sum", "cumcount")
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class FeatureSpec:
     def __post_init__(self):
         if self.kind not in KINDS:
             raise ValueError(f"unknown feature kind {self.kind}")
-        if (self.kind in ("nunique", "var", "mean")) != (self.value is not None) and self.kind != "cumcount":
+        if (self.kind in ("nunique", "var", "mean", "sum")) != (self.value is not None) and self.kind != "cumcount":
             raise ValueError(f"{self.kind}: wrong value column {self.value}")
 
     @property
@@ -33,7 +33,7 @@ class FeatureSpec:
         keys = "_".join(self.keys)
         return {
             "next_click": f"{keys}_next_click", "prev_click": f"{keys}_prev_click", "count": f"{keys}count", "add_counts": f"{keys}_count",
-            "nunique": f"{keys}_by_{self.value}_countuniq", "var": f"{keys}_by_{self.value}_var", "mean": f"{keys}_by_{self.value}_mean",
+            "nunique": f"{keys}_by_{self.value}_countuniq", "var": f"{keys}_by_{self.value}_var", "mean": f"{keys}_by_{self.value}_mean", "sum": f"{keys}_by_{self.value}_sum",
             "cumcount": f"{keys}_by_{self.value}_cumcount" if self.value else f"{keys}_cumcount",
         }[self.kind]
 
@@ -50,7 +50,7 @@ def expression(spec: FeatureSpec, time: str, row_id: str) -> Column:
         return (F.row_number().over(ordered) - 1).cast("long")
     if spec.kind in ("count", "add_counts"):
         return F.count("*").over(group)
-    return (F.var_samp(spec.value) if spec.kind == "var" else F.avg(spec.value)).over(group)
+    return {"var": F.var_samp, "mean": F.avg, "sum": F.sum}[spec.kind](spec.value).over(group)
 
 
 def add_features(df: DataFrame, specs: list[FeatureSpec], time: str = "ts", row_id: str = "event_id") -> DataFrame:
@@ -72,7 +72,7 @@ def add_features(df: DataFrame, specs: list[FeatureSpec], time: str = "ts", row_
         if ordered:
             df = df.withColumns({s.name: expression(FeatureSpec(s.kind, keys, s.value), time, row_id) for s in ordered})
         if rest:
-            how = {"count": lambda s: F.count("*"), "add_counts": lambda s: F.count("*"), "nunique": lambda s: F.countDistinct(s.value), "var": lambda s: F.var_samp(s.value), "mean": lambda s: F.avg(s.value)}
+            how = {"count": lambda s: F.count("*"), "add_counts": lambda s: F.count("*"), "nunique": lambda s: F.countDistinct(s.value), "var": lambda s: F.var_samp(s.value), "mean": lambda s: F.avg(s.value), "sum": lambda s: F.sum(s.value)}
             df = df.join(base.groupBy(*keys).agg(*[how[s.kind](s).alias(s.name) for s in rest]), list(keys), "left")
     return df
 
@@ -87,23 +87,34 @@ def saved_feature(df: DataFrame, spec: FeatureSpec, root: str, row_id: str = "ev
     return remembered(df.sparkSession, f"{root}/{spec.name}", lambda: add_features(df, [spec], row_id=row_id, **options).select(row_id, spec.name))
 
 
-def specs(kind: str, *sets: str) -> list[FeatureSpec]:
-    return [FeatureSpec(kind, tuple(s.split())) for s in sets]
-
-
 # fixed values: key sets of the click pipeline
+NEXT_CLICK = (
+    ("ip", "os", "device", "app"), ("ip", "os", "app"), ("ip", "os", "device"), ("ip", "os", "channel"), ("ip", "device"),
+    ("ip", "channel"), ("ip", "app", "channel"), ("ip", "device", "app"), ("ip", "app"),
+)
+PREV_CLICK = (("ip", "os", "device", "app"), ("ip", "device", "app"), ("ip", "device", "channel"), ("ip", "app", "channel"), ("ip", "app"), ("ip", "device"))
+ADD_COUNTS = (
+    ("ip",), ("os", "device"), ("app", "channel"), ("ip", "app", "os"), ("in_test_hh", "ip"), ("os", "app", "channel"),
+    ("ip", "day", "hour"), ("ip", "device", "day", "hour"),
+)
+COUNT = (("ip", "device"), ("ip", "channel"), ("ip", "app", "device"), ("ip", "app"), ("ip", "os"), ("ip", "app", "channel"))
+UNIQUE = (
+    (("ip",), "channel"), (("ip", "day"), "channel"), (("ip",), "device"), (("ip",), "app"), (("ip",), "os"), (("ip", "app"), "os"),
+    (("ip", "device", "os"), "app"),
+)
+VARIANCE = ((("ip",), "device"), (("ip", "device", "os"), "channel"))
 CLICK_SPECS = (
-    specs("next_click", "ip os device app", "ip os app", "ip os device", "ip os channel", "ip device", "ip channel", "ip app channel", "ip device app", "ip app")
-    + specs("prev_click", "ip os device app", "ip device app", "ip device channel", "ip app channel", "ip app", "ip device")
-    + specs("add_counts", "ip", "os device", "app channel", "ip app os", "in_test_hh ip", "os app channel", "ip day hour", "ip device day hour")
-    + specs("count", "ip device", "ip channel", "ip app device", "ip app", "ip os", "ip app channel")
-    + [FeatureSpec("nunique", tuple(k.split()), v) for k, v in (("ip", "channel"), ("ip day", "channel"), ("ip", "device"), ("ip", "app"), ("ip", "os"), ("ip app", "os"), ("ip device os", "app"))]
-    + [FeatureSpec("var", tuple(k.split()), v) for k, v in (("ip", "device"), ("ip device os", "channel"))]
+    *(FeatureSpec("next_click", k) for k in NEXT_CLICK),
+    *(FeatureSpec("prev_click", k) for k in PREV_CLICK),
+    *(FeatureSpec("add_counts", k) for k in ADD_COUNTS),
+    *(FeatureSpec("count", k) for k in COUNT),
+    *(FeatureSpec("nunique", k, v) for k, v in UNIQUE),
+    *(FeatureSpec("var", k, v) for k, v in VARIANCE),
 )
 HELPERS = ("day", "in_test_hh", "click_time_int")
 
 
-def click_pipeline(frames: dict[str, DataFrame], time: str = "click_time", row_id: str = "row_id", specs: list[FeatureSpec] = CLICK_SPECS) -> DataFrame:
+def click_pipeline(frames: dict[str, DataFrame], time: str = "click_time", row_id: str = "row_id", specs: tuple[FeatureSpec, ...] = CLICK_SPECS) -> DataFrame:
     """Train, validation and test frames as one, with an ``origin`` column, time parts and all features; split it by ``origin``."""
     from loomspark.functions.dates import hour_class
     from loomspark.operators.sets import tagged_union

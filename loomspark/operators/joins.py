@@ -56,3 +56,19 @@ def grid(spark, x: tuple[int, int, int], y: tuple[int, int, int]) -> DataFrame:
 
 def each(frames: list[DataFrame], step) -> list[DataFrame]:
     return [f.transform(step) for f in frames]
+
+
+def aligned(df: DataFrame, other: DataFrame, row_id: str, column: str, out: str | None = None) -> DataFrame:
+    """``df`` with a column of another table on the rows of the same id, null where it has none."""
+    return df.join(other.select(row_id, F.col(column).alias(out or column)), row_id, "left")
+
+
+def by_position(frames: dict[str, DataFrame], order: str, column: str) -> DataFrame:
+    """(position, one column for each table): rows that stand at the same place of their table's order, numbered by running counts."""
+    from loomspark.operators.ranks import running_before, splitters
+
+    out = None
+    for name, f in frames.items():
+        one = running_before(f.select(order, F.col(column).alias(name)).withColumn("__one", F.lit(1)), {"position": "__one"}, [order], splitters(f, order)).select("position", name)
+        out = one if out is None else out.join(one, "position", "full")
+    return out

@@ -1,15 +1,18 @@
-"""Algorithms written on DataFrames: least squares, Lloyd's k-means, brute-force neighbours, decision trees, blends, selection."""
+"""Algorithms written on DataFrames: least squares, Lloyd's k-means, neighbours by blocks, decision trees, blends, selection."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.maths import logit
-from loomspark.functions.vectors import nearest, squared_distance
+from loomspark.functions.vectors import nearest
+from loomspark.operators.columns import uniform
+from loomspark.operators.ranks import bucket_of, running_before, splitters
 
 
 class SimpleLinearRegression:
@@ -41,15 +44,17 @@ class KMeans:
             raise ValueError("n_init and max_iter have to be positive")
         self.n_clusters, self.n_init, self.max_iter, self.tol, self.seed = n_clusters, n_init, max_iter, tol, seed
 
-    def fit(self, df: DataFrame, vector: str) -> KMeans:
-        points = df.select(F.transform(vector, lambda v: v.cast("double")).alias("v")).cache()
+    def fit(self, df: DataFrame, vector: str, row_id: str | None = None) -> KMeans:
+        """``row_id``: starts go by the hash of this key, else by that of the vector."""
+        points = df.select(*([row_id] if row_id else []), F.transform(vector, lambda v: v.cast("double")).alias("v")).cache()
         try:
             if points.count() < self.n_clusters:
                 raise ValueError("fewer points than clusters")
             best = None
             for i in range(self.n_init):
                 # distinct points by the order of a seeded hash: reruns agree however the rows lie
-                start = points.distinct().orderBy(F.xxhash64("v", F.lit(self.seed + i)), "v").limit(self.n_clusters).collect()
+                order = F.xxhash64("v", F.lit(self.seed + i)) if row_id is None else uniform(F.col(row_id), self.seed + i)
+                start = points.groupBy("v").agg(F.min(order).alias("o")).orderBy("o", "v").limit(self.n_clusters).collect()
                 run = self._single(points, [list(r.v) for r in start])
                 if best is None or run[1] < best[1]:
                     best = run
@@ -93,33 +98,116 @@ def inertia(df: DataFrame, vector: str, centres: list[list[float]]) -> float:
 
 
 class KNeighborsClassifier:
-    """Squared distances to all training rows, which are held in blocks; ties of distance by row id, of votes by label."""
+    """Squared distances of every query to every training row; ties of distance (to nine digits) by row id, of votes by label.
 
-    BLOCK = 20_000
+    Both tables are packed into blocks of rows; a pair of blocks is one numpy
+    product that hands on the k best of each query, and a ranked window, which
+    drops all but k before its shuffle, merges the blocks.
+    """
+
+    #: Rows of a block of queries and of one of training rows.
+    QUERIES, BLOCK = 1024, 8192
 
     def __init__(self, n_neighbors: int = 5):
         self.n_neighbors = n_neighbors
 
     def fit(self, df: DataFrame, vector: str, label: str, row_id: str) -> KNeighborsClassifier:
-        n = df.count()
-        if n < self.n_neighbors:
+        if df.limit(self.n_neighbors).count() < self.n_neighbors:
             raise ValueError("fewer rows than neighbours")
-        self.train, self.blocks = df.select(F.col(row_id).alias("t_id"), F.col(vector).alias("t_v"), F.col(label).alias("t_label")), -(-n // self.BLOCK)
+        self.train = df.select(F.col(row_id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
         return self
 
-    def neighbours(self, df: DataFrame, vector: str, row_id: str) -> DataFrame:
-        """(query row id, the k nearest as an ordered array): each block gives its k, then the best of these."""
-        found = None
-        for b in range(self.blocks):
-            block = self.train.filter(F.pmod(F.xxhash64("t_id"), F.lit(self.blocks)) == b).agg(F.collect_list(F.struct("t_id", "t_v", "t_label")).alias("block"))
-            each = F.transform("block", lambda t: F.struct(F.round(squared_distance(F.col(vector), t["t_v"]), 9).alias("distance"), t["t_id"].alias("t_id"), t["t_label"].alias("t_label")))
-            part = df.select(row_id, vector).crossJoin(F.broadcast(block)).select(row_id, F.slice(F.array_sort(each), 1, self.n_neighbors).alias("near"))  # one row of BLOCK members
-            found = part if found is None else found.union(part)
-        return found.groupBy(row_id).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, self.n_neighbors).alias("near"))
+    def neighbours(self, df: DataFrame, vector: str, row_id: str, apart: Column | None = None) -> DataFrame:
+        """(query row id, place from 1, distance, id, label) of the nearest.
+
+        ``apart``: a fold of a row id; rows of a query's own fold are no neighbours of it.
+        """
+        fold = F.lit(None).cast("long") if apart is None else apart.cast("long")
+        queries = packed(df.select(F.col(row_id).cast("long").alias("id"), F.lit(0).cast("long").alias("label"), F.col(vector).alias("v")).withColumn("fold", fold if apart is None else apart.cast("long")), self.QUERIES, "q")
+        train = packed(self.train.withColumn("fold", fold if apart is None else apart.cast("long")), self.BLOCK, "t")
+        k = self.n_neighbors
+
+        def compare(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield nearest_of_blocks(row, k)
+
+        schema = "id long, distance double, t_id long, label long"
+        pairs = queries.crossJoin(train).mapInArrow(compare, schema)  # blocks against blocks: a stated set of queries against all rows
+        place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "t_id"))
+        best = pairs.withColumn("place", place).filter(F.col("place") <= k)
+        return best.select(F.col("id").alias(row_id), "place", "distance", "t_id", F.col("label").alias("t_label"))
 
     def predict(self, df: DataFrame, vector: str, row_id: str, out: str = "prediction") -> DataFrame:
-        votes = self.neighbours(df, vector, row_id).select(row_id, F.explode("near").alias("n")).groupBy(row_id, F.col("n.t_label").alias(out)).agg(F.count("*").alias("votes"))
-        return votes.groupBy(row_id).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col(out).alias(out))).alias("m")).select(row_id, f"m.{out}")
+        return vote(self.neighbours(df, vector, row_id), [row_id], out)
+
+
+def vote(near: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The most frequent label of the neighbours; the smallest of equals."""
+    votes = near.groupBy(*keys, F.col("t_label").alias(out)).agg(F.count("*").alias("votes"))
+    return votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col(out).cast("int").alias(out))).alias("m")).select(*keys, f"m.{out}")
+
+
+def packed(df: DataFrame, rows: int, prefix: str) -> DataFrame:
+    """Blocks of up to ``rows`` rows: their ids, labels, folds and vectors as bytes."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def block(table):
+            v = np.stack(table.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
+            numbers = [np.asarray(table.column(c).fill_null(-1)).astype(np.int64).tobytes() for c in ("id", "label", "fold")]
+            fold = table.column("fold").null_count < len(v)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(v), *numbers, v.tobytes())] + [pa.array([fold])], names=[f"{prefix}_{c}" for c in ("n", "id", "label", "fold", "v", "folds")])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            while n >= rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield block(table.slice(0, rows))
+                held, n = table.slice(rows).to_batches(), n - rows
+        if n:
+            yield block(pa.Table.from_batches(held).combine_chunks())
+
+    p = prefix
+    return df.mapInArrow(run, f"{p}_n long, {p}_id binary, {p}_label binary, {p}_fold binary, {p}_v binary, {p}_folds boolean")
+
+
+def nearest_of_blocks(row: dict, k: int) -> pa.RecordBatch:
+    """The k nearest training rows of each query of a pair of blocks: a product finds who can be among them, and their distances are then taken exactly."""
+    ids, labels, v = ({s: np.frombuffer(row[f"{s}_{c}"], t) for s in "qt"} for c, t in (("id", np.int64), ("label", np.int64), ("v", np.float64)))
+    q, t = (v[s].reshape(row[f"{s}_n"], -1) for s in "qt")
+    rough = (q * q).sum(axis=1)[:, None] + (t * t).sum(axis=1)[None, :] - 2 * (q @ t.T)
+    if row["q_folds"]:
+        same = np.frombuffer(row["q_fold"], np.int64)[:, None] == np.frombuffer(row["t_fold"], np.int64)[None, :]
+        rough = np.where(same, np.inf, rough)
+    size = min(k, len(t))
+    edge = np.partition(rough, size - 1, axis=1)[:, size - 1]
+    slack = 1e-6 + 1e-9 * np.abs(np.where(np.isfinite(edge), edge, 0))
+    at, of = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
+    exact = np.round(((q[at] - t[of]) ** 2).sum(axis=1), 9)
+    order = np.lexsort((ids["t"][of], exact, at))
+    at, of, exact = at[order], of[order], exact[order]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids["q"][at], exact, ids["t"][of], labels["t"][of])], names=["id", "distance", "t_id", "label"])
+
+
+def k_sweep(df: DataFrame, vector: str, label: str, row_id: str, ks: list[int], folds: int = 10) -> DataFrame:
+    """(k, errors): misclassified rows by the number of neighbours, each row judged by the rows of other folds; one search serves all k."""
+    most = KNeighborsClassifier(max(ks)).fit(df, vector, label, row_id)
+    near = most.neighbours(df, vector, row_id, apart=F.pmod(F.col("id"), F.lit(folds)))
+    each = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("place <= k")
+    votes = vote(each, [row_id, "k"], "prediction")
+    truth = df.select(F.col(row_id), F.col(label).alias("__y"))
+    return votes.join(truth, row_id).groupBy("k").agg(F.sum((F.col("prediction") != F.col("__y")).cast("long")).alias("errors"))
+
+
+def best_k(sweep: DataFrame) -> int:
+    """The first of the least errors."""
+    return sweep.orderBy("errors", "k").first().k
 
 
 # -- decision trees ------------------------------------------------------------
@@ -128,21 +216,33 @@ class KNeighborsClassifier:
 def gini_splits(df: DataFrame, feature: str, label: str, row_id: str, node: str | None = None) -> DataFrame:
     """Weighted Gini of every split position of a numeric feature (also between equal values) for labels 0 and 1; threshold halfway.
 
-    The window runs over one feature of one node; distinct values would make
-    it smaller, but positions among equal values are part of the semantics.
+    Positions are running counts of rows in order; a large table's rows are
+    counted bucket by bucket of the feature, so no task holds a whole node.
     """
     keys = [node] if node else []
-    w = Window.partitionBy(*keys).orderBy(feature, row_id)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    counted = df.withColumns({"nl": F.count("*").over(upto), "pl": F.sum(F.col(label).cast("long")).over(upto), "n": F.count("*").over(whole), "p": F.sum(F.col(label).cast("long")).over(whole), "following": F.lead(feature).over(w)}).filter("nl < n")
+    edges = splitters(df, feature)
+    held = df.withColumns({"__one": F.lit(1).cast("long"), "__y": F.col(label).cast("long"), "__bucket": bucket_of(F.col(feature), edges)})
+    counted = running_before(held.drop("__bucket"), {"nl": "__one", "pl": "__y"}, [feature, row_id], edges, keys)
+    counted = counted.withColumns({"nl": F.col("nl") + 1, "pl": F.col("pl") + F.col("__y")})
+    if edges:
+        counted = counted.withColumn("__bucket", bucket_of(F.col(feature), edges))
+        # the row after a bucket's last one is the first of the next bucket
+        firsts = held.groupBy(*keys, "__bucket").agg(F.min(feature).alias("__first"))
+        nexts = firsts.select(*keys, "__bucket", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bucket")).alias("__next"))
+        inner = F.lead(feature).over(Window.partitionBy(*keys, "__bucket").orderBy(feature, row_id))
+        counted = counted.withColumn("following", inner).join(nexts, [*keys, "__bucket"]).withColumn("following", F.coalesce("following", "__next")).drop("__next")
+    else:
+        counted = counted.withColumn("following", F.lead(feature).over(Window.partitionBy(*keys).orderBy(feature, row_id)))
+    totals = held.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("__y").alias("p"))
+    both = counted.join(F.broadcast(totals), keys) if keys else counted.crossJoin(F.broadcast(totals))  # a row for each open node, or one
+    both = both.filter("nl < n").drop("__one", "__y", "__bucket")
 
     def impurity(p: Column) -> Column:
         return 1 - p * p - (1 - p) * (1 - p)
 
     nl, nr = F.col("nl").cast("double"), (F.col("n") - F.col("nl")).cast("double")
     value = (nl * impurity(F.col("pl") / nl) + nr * impurity((F.col("p") - F.col("pl")) / nr)) / F.col("n")
-    return counted.withColumns({"gini": value, "threshold": (F.col(feature) + F.col("following")) / F.lit(2.0).cast("double")})
+    return both.withColumns({"gini": value, "threshold": (F.col(feature) + F.col("following")) / F.lit(2.0).cast("double")})
 
 
 @dataclass

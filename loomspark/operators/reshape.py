@@ -8,6 +8,12 @@ from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.ranks import running_before, splitters
+
+
+#: Rows that a transposed table may have.
+MOST_COLUMNS = 1000
+
 
 def unpivot(df: DataFrame, ids: list[str], decode: dict[str, tuple], names: list[str], value: str) -> DataFrame:
     """A row for each column of ``decode``, whose key attributes become columns ``names``."""
@@ -16,9 +22,10 @@ def unpivot(df: DataFrame, ids: list[str], decode: dict[str, tuple], names: list
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """0 to n - 1 in alphabetical order; null stays null."""
-    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().agg(F.array_sort(F.collect_list(column)).alias("__c"))
-    return df.crossJoin(F.broadcast(codes)).withColumn(out, F.array_position("__c", F.col(column)).cast("int") - 1).drop("__c")  # one row of distinct labels
+    """0 to n - 1 in alphabetical order; null stays null.  Distinct labels are ranked and joined back, however many there are."""
+    labels = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    codes = running_before(labels.withColumn("__n", F.lit(1)), {out: "__n"}, [column], splitters(df, column)).select(column, F.col(out).cast("int").alias(out))
+    return df.join(codes, column, "left")
 
 
 class CategoricalEncoder:
@@ -117,3 +124,31 @@ class ColumnSelector(Transformer):
 def housing_ratios(rooms: str = "total_rooms", bedrooms: str = "total_bedrooms", population: str = "population", households: str = "households", bedrooms_per_room: bool = True) -> RatioAdder:
     ratios = {"rooms_per_household": (rooms, households), "population_per_household": (population, households)}
     return RatioAdder(ratios | ({"bedrooms_per_room": (bedrooms, rooms)} if bedrooms_per_room else {}))
+
+
+class FeatureUnion(Transformer):
+    """The columns that several transformers add to the same table, side by side in one plan; each may be a ``PipelineModel`` and reads columns of the table."""
+
+    def __init__(self, parts: list[Transformer], keep: list[str]):
+        super().__init__()
+        self.parts, self.keep = parts, keep
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out, made = df, []
+        for part in self.parts:
+            before = out.columns
+            out = part.transform(out)
+            if not set(before) <= set(out.columns):
+                raise ValueError("a part of a union may add columns only")
+            made += [c for c in out.columns if c not in before]
+        return out.select(*self.keep, *made)
+
+
+def transposed(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A row for each column (``field``) and a column for each value of ``name``: for reports, whose rows are few and become columns."""
+    columns = columns or [c for c in df.columns if c != name]
+    long = df.select(name, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("r")).select(name, "r.*")
+    rows = [r[0] for r in df.select(name).distinct().orderBy(name).limit(MOST_COLUMNS + 1).collect()]
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} rows can't become columns")
+    return long.groupBy("field").pivot(name, rows).agg(F.first("value"))

@@ -1,11 +1,13 @@
-"""Splits and samples.  Random ones are seeded; those by hash do not depend on partitions."""
+"""Splits and samples.  Random ones go by a seeded hash of a key, so none depends on partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.maths import hash_bucket
+from loomspark.operators.columns import uniform
+from loomspark.operators.ranks import quantiles
 
 
 def by_hash(df: DataFrame, key: str, ratio: float) -> tuple[DataFrame, DataFrame]:
@@ -14,9 +16,10 @@ def by_hash(df: DataFrame, key: str, ratio: float) -> tuple[DataFrame, DataFrame
     return df.filter(~test), df.filter(test)
 
 
-def random(df: DataFrame, ratio: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    rest, test = df.randomSplit([1 - ratio, ratio], seed)
-    return rest, test
+def random(df: DataFrame, key: str, ratio: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rest, test): each row by a seeded hash of its key, so that other files or partitions give the same rows."""
+    test = uniform(F.col(key), seed) < ratio
+    return df.filter(~test), df.filter(test)
 
 
 def stratified(df: DataFrame, stratum: str, key: str, ratio: float) -> DataFrame:
@@ -28,12 +31,18 @@ def stratified(df: DataFrame, stratum: str, key: str, ratio: float) -> DataFrame
 
 def ordered(df: DataFrame, order: str, ratio: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(first, rest): the first part of an order by its exact quantile, which needs no global sort of rows."""
-    edge = df.agg(F.percentile(F.col(order).cast("double"), F.lit(ratio)).alias("__e"))
+    edge = quantiles(df, order, [ratio]).select(F.col("q")[0].alias("__e"))
     held = df.crossJoin(F.broadcast(edge))  # one row
     low = F.col(order).cast("double") <= F.col("__e")
     return held.filter(low).drop("__e"), held.filter(~low).drop("__e")
 
 
-def permuted(df: DataFrame, seed: int, n: int | None = None) -> DataFrame:
-    out = df.orderBy(F.rand(seed))
+def permuted(df: DataFrame, key: str, seed: int, n: int | None = None) -> DataFrame:
+    """Rows in the order of a seeded hash of their key; ``n`` of them are found by each task's own first ones, without a sort of all."""
+    out = df.orderBy(uniform(F.col(key), seed), key)
     return out.limit(n) if n else out
+
+
+def folds(key: str, n: int = 10) -> Column:
+    """The number of a row's fold by its key."""
+    return F.pmod(F.col(key), F.lit(n)).cast("int")

@@ -34,3 +34,8 @@ def top_in_group(df: DataFrame, k: int, keys: list[str], *order: Column) -> Data
 def positions(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Positions from 0 after a sort of an aggregate: one task, so for reports."""
     return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+
+
+def nth(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The row at place k from 0 of a total order, as a table of one row: the first k + 1 are found without a sort of all."""
+    return df.orderBy(*order).offset(k).limit(1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("clicks", "cleaning", "tables", "learning")
+FAMILIES = ("scans", "clicks", "cleaning", "tables", "learning")
 
 
 def _families():

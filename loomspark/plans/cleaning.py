@@ -90,9 +90,13 @@ def median_imputer(spark, sf):
     return col.MedianImputer(["o_totalprice"]).fit(df).transform(df).withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
-@query()
+def uniform(key: str, seed: int) -> str:
+    return f"cast('0x' || left(md5({key}::varchar || ':{seed}'), 12) as bigint) / {float(1 << 48)}"
+
+
+@query(f"with n as ({NULLED}), s as (select avg(value) - stddev_samp(value) as lo, avg(value) + stddev_samp(value) as hi from n) select event_id, coalesce(trunc(value), floor(lo + {uniform('event_id', 3)} * (hi - lo)))::bigint as value from n, s")
 def fill_random(spark, sf):
-    return col.fill_random(nulled(spark, sf).select("event_id", "value"), "value", seed=3)
+    return col.fill_random(nulled(spark, sf).select("event_id", "value"), "value", "event_id", seed=3)
 
 
 @query(f"""with n as ({NULLED}) select 'event_id' as "column", count(event_id) as present, count(*) - count(event_id) as missing from n
@@ -245,12 +249,64 @@ def ordered_split(spark, sf):
     return first.withColumn("early", F.lit(True)).union(rest.withColumn("early", F.lit(False)))
 
 
-@query()
+@query(f"select o_orderkey, {uniform('o_orderkey', 42)} < 0.2 as in_test from orders")
 def random_split(spark, sf):
-    rest, test = sampling.random(table(spark, sf, "orders").select("o_orderkey"), 0.2, seed=42)
-    return test
+    rest, test = sampling.random(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.2, seed=42)
+    return rest.withColumn("in_test", F.lit(False)).union(test.withColumn("in_test", F.lit(True)))
 
 
-@query()
+@query(f"select event_id from events order by {uniform('event_id', 42)}, event_id limit 64")
 def permutation_sample(spark, sf):
-    return sampling.permuted(table(spark, sf, "events").select("event_id"), seed=42, n=64)
+    return sampling.permuted(table(spark, sf, "events").select("event_id"), "event_id", seed=42, n=64)
+
+
+# -- further columns ---------------------------------------------------------------
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey >= 100 and o_orderkey < 300")
+def row_slice(spark, sf):
+    return col.slice_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 300)
+
+
+@query("select p_brand, p_name, p_size, p_type from part")
+def columns_but(spark, sf):
+    t = table(spark, sf, "part")
+    return t.select(*col.columns_but(t, ["p_partkey", "p_retailprice", "nothing"]))
+
+
+@query("select c_custkey, c_name, c_acctbal * 2 as twice, c_nationkey from customer")
+def concatenated_columns(spark, sf):
+    t = table(spark, sf, "customer")
+    return col.beside(t.select("c_custkey", "c_name"), t.select("c_custkey", (c("c_acctbal") * 2).alias("twice"), "c_nationkey"), "c_custkey")
+
+
+@query("select o_orderkey, cast(year(o_orderdate) as int) as y, cast(month(o_orderdate) as int) as m, cast(day(o_orderdate) as int) as d from orders")
+def split_dates(spark, sf):
+    parts = strings.split_ints(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf, "orders").select("o_orderkey", parts.alias("p")).select("o_orderkey", c("p")[0].alias("y"), c("p")[1].alias("m"), c("p")[2].alias("d"))
+
+
+@query("select c_custkey, c_nationkey as c_nationkey_c_mktsegment_count from customer")
+def joined_names(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", c("c_nationkey").alias(strings.joined_name(["c_nationkey", "c_mktsegment"], "_count")))
+
+
+@query("select event_id, cast(floor(epoch(ts)) as bigint) as a, cast(floor(epoch(ts)) as bigint) as b, null::bigint as d from events")
+def parsed_timestamps(spark, sf):
+    iso, plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, sf, "events").select("event_id", F.unix_timestamp(dates.iso_millis(iso)).alias("a"), F.unix_timestamp(dates.any_timestamp(plain)).alias("b"), F.unix_timestamp(dates.any_timestamp(F.lit("no date"))).alias("d"))
+
+
+@query("select p_partkey, round(2 * pow(2.0, (p_size - 20) * 0.5), 6) as y, least(p_size::double, p_retailprice, 30.0) as least from part")
+def exponential_curve(spark, sf):
+    from loomspark.functions.vectors import smallest
+
+    return table(spark, sf, "part").select("p_partkey", F.round(maths.exponential(c("p_size"), 2.0, 0.5, 20.0), 6).alias("y"), smallest(c("p_size").cast("double"), c("p_retailprice"), F.lit(30.0)).alias("least"))
+
+
+@query("select n_nationkey, 0::bigint as seconds, true as later from nation")
+def stopwatch(spark, sf):
+    watch = dates.Stopwatch()
+    watch.start()
+    found, lap = watch.elapsed(), watch.lap()
+    return table(spark, sf, "nation").select("n_nationkey", F.lit(found + lap).cast("long").alias("seconds"), F.lit(watch.elapsed() >= found).alias("later"))

@@ -10,6 +10,7 @@ from loomspark.operators.aggregates import auc, value_ranks
 from loomspark.operators.columns import open_interval
 from loomspark.operators.features import FeatureSpec
 from loomspark.operators.learn import blend
+from loomspark.operators.selection import parse
 from loomspark.operators.sets import tagged_union
 from loomspark.plans.base import Family, table
 
@@ -118,7 +119,7 @@ x as (select event_id, n, k, rank() over (order by l) + (count(*) over (partitio
 select event_id, round(0.8 * lr / n + 0.2 * k, 6) as score from x"""
 
 
-@query()
+@query(BLENDED)
 def rank_logit_blend(spark, sf):
     e = events(spark, sf).select("event_id", "value")
     one = e.agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
@@ -143,9 +144,50 @@ def auc_rank(spark, sf):
     return auc(df, "value", "y").select(F.round("auc", 9).alias("auc"))
 
 
-@query()
+def click_sql() -> str:
+    """Each feature of the click specification as a window, or a grouped count that is joined back."""
+    found, joins = [], []
+    for i, s in enumerate(feat.CLICK_SPECS):
+        keys = ", ".join(s.keys)
+        w = f"(partition by {keys} order by click_time, row_id)"
+        if s.kind in ("next_click", "prev_click"):
+            a, b = (f"lead(seconds) over {w}", "seconds") if s.kind == "next_click" else ("seconds", f"lag(seconds) over {w}")
+            found.append(f'cast({a} - {b} as double) as "{s.name}"')
+        elif s.kind in ("count", "add_counts"):
+            found.append(f'cast(count(*) over (partition by {keys}) as bigint) as "{s.name}"')
+        else:
+            how = f"cast(count(distinct {s.value}) as bigint)" if s.kind == "nunique" else f"round(var_samp({s.value}), 9)"
+            joins.append(f"join (select {keys}, {how} as x{i} from h group by {keys}) g{i} using ({keys})")
+            found.append(f'x{i} as "{s.name}"')
+    return f"""with e as (select event_id as row_id, user_id as ip, cast('0x' || left(md5(event_type), 6) as int) as app, event_id % 3 as device, event_id % 5 as os, user_id % 7 as channel, ts as click_time from events),
+h as (select *, cast(hour(click_time) as int) as hour, cast(day(click_time) as int) as day, cast(floor(epoch(click_time)) as bigint) as seconds,
+  cast(case when hour(click_time) in (4,5,9,10,13,14) then 1 when hour(click_time) in (6,11,15) then 2 else 3 end as int) as in_test_hh,
+  case when click_time < timestamp '2024-01-21' then 'train' else 'test' end as origin from e)
+select row_id, ip, app, device, os, channel, click_time, origin, hour, {', '.join(found)} from h {' '.join(joins)}"""
+
+
+@query(click_sql())
 def full_click_pipeline(spark, sf):
     """All features of the click specification, on events that are mapped to clicks."""
-    e = events(spark, sf).select(F.col("event_id").alias("row_id"), F.col("user_id").alias("ip"), F.hash("event_type").alias("app"), (F.col("event_id") % 3).alias("device"), (F.col("event_id") % 5).alias("os"), (F.col("user_id") % 7).alias("channel"), F.col("ts").alias("click_time"))
+    app = F.conv(F.left(F.md5("event_type"), F.lit(6)), 16, 10).cast("int").alias("app")
+    e = events(spark, sf).select(F.col("event_id").alias("row_id"), F.col("user_id").alias("ip"), app, (F.col("event_id") % 3).alias("device"), (F.col("event_id") % 5).alias("os"), (F.col("user_id") % 7).alias("channel"), F.col("ts").alias("click_time"))
     cut = F.expr("timestamp_ntz'2024-01-21 00:00:00'")
-    return feat.click_pipeline({"train": e.filter(F.col("click_time") < cut), "test": e.filter(F.col("click_time") >= cut)})
+    out = feat.click_pipeline({"train": e.filter(F.col("click_time") < cut), "test": e.filter(F.col("click_time") >= cut)})
+    return out.withColumns({s.name: F.round(s.name, 9) for s in feat.CLICK_SPECS if s.kind == "var"})
+
+
+@query("select event_id, round(s, 6) as s from events join (select user_id, event_type, sum(value) as s from events group by 1, 2) using (user_id, event_type)")
+def group_sum_feature(spark, sf):
+    df, name = feat.add_feature(events(spark, sf), FeatureSpec("sum", ("user_id", "event_type"), "value"))
+    return df.select("event_id", F.round(name, 6).alias("s"))
+
+
+#: Features as text: read, checked and planned, never run.
+TEXTS = ("do_count(df, ['user_id'])", "do_next_click(df, ['user_id', 'event_type'])", "do_countuniq(df, ['user_id'], 'event_type')")
+
+
+@query("""select event_id, cast(count(*) over (partition by user_id) as bigint) as user_idcount, cast(floor(epoch(lead(ts) over (partition by user_id, event_type order by ts, event_id))) - floor(epoch(ts)) as double) as user_id_event_type_next_click,
+cast(count(distinct event_type) over (partition by user_id) as bigint) as user_id_by_event_type_countuniq from events""")
+def features_from_text(spark, sf):
+    specs = [parse(t) for t in TEXTS]
+    return feat.add_features(events(spark, sf), specs).select("event_id", *[s.name for s in specs])

@@ -78,7 +78,8 @@ def group_basics(spark, sf):
 
 @query("select event_type, median(value) as med, round(avg(value), 6) as mean from events group by 1")
 def group_median_mean(spark, sf):
-    return agg.by(table(spark, sf, "events"), ["event_type"], med=F.median("value"), mean=F.round(F.avg("value"), 6))
+    e = table(spark, sf, "events").select("event_type", "value")
+    return agg.group_median(e, ["event_type"], "value", "med").join(agg.by(e, ["event_type"], mean=F.round(F.avg("value"), 6)), "event_type")
 
 
 @query("select p_brand, round(avg(p_partkey), 6) as p_partkey, round(avg(p_size), 6) as p_size, round(avg(p_retailprice), 6) as p_retailprice from part group by 1")
@@ -178,7 +179,8 @@ def nested_tree_json(spark, sf):
     return both.groupBy(c("r_name").alias("name")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(c("n_name").alias("name"))))).alias("children"))
 
 
-@query()
+@query("""with l as (select r_name, n_name, list({'s_suppkey': s_suppkey, 's_name': s_name} order by s_suppkey) as children from region join nation on r_regionkey = n_regionkey join supplier on s_nationkey = n_nationkey group by 1, 2)
+select to_json({'r_name': r_name, 'children': list({'name': n_name, 'children': children} order by n_name)})::varchar as tree from l group by r_name""")
 def nested_tree_levels(spark, sf):
     both = table(spark, sf, "region").join(table(spark, sf, "nation"), c("r_regionkey") == c("n_regionkey")).join(table(spark, sf, "supplier"), c("n_nationkey") == c("s_nationkey"))
     tree = agg.tree(both, "r_name", "n_name", ["s_suppkey", "s_name"], "s_suppkey")
@@ -271,3 +273,63 @@ def standard_scale(spark, sf):
 def ratio_features(spark, sf):
     t = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     return reshape.RatioAdder({"per_size": ("p_retailprice", "p_size"), "per_price": ("p_size", "p_retailprice")}).transform(t).drop("p_size", "p_retailprice")
+
+
+# -- further shapes ----------------------------------------------------------------
+
+
+@query("select r_name as field, max(case when n = 0 then v end) as \"0\", max(case when n = 1 then v end) as \"1\", max(case when n = 2 then v end) as \"2\" from (select 'n_name' as r_name, n_nationkey as n, n_name as v from nation union all select 'n_regionkey', n_nationkey, n_regionkey::varchar from nation) group by 1")
+def transposed_rows(spark, sf):
+    rows = table(spark, sf, "nation").select(c("n_nationkey").cast("string").alias("n"), "n_name", "n_regionkey")
+    return reshape.transposed(rows, "n").select("field", "0", "1", "2")
+
+
+@query("select p_partkey, round((p_size - avg(p_size) over ()) / stddev_pop(p_size) over (), 6) as scaled, cast(p_brand = 'Brand#11' as double) as is_11, cast(dense_rank() over (order by p_brand) - 1 as double) as brand from part")
+def feature_union(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    t = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand").withColumn("size", c("p_size").cast("double"))
+    numbers = Pipeline(stages=[VectorAssembler(inputCols=["size"], outputCol="sizes"), StandardScaler(inputCol="sizes", outputCol="scaled", withMean=True)]).fit(t)
+    names = Pipeline(stages=[StringIndexer(inputCol="p_brand", outputCol="brand", stringOrderType="alphabetAsc"), SQLTransformer(statement="select *, cast(p_brand = 'Brand#11' as double) as is_11 from __THIS__")]).fit(t)
+    n = t.count()
+    both = reshape.FeatureUnion([numbers, names], keep=["p_partkey"]).transform(t)
+    # the library divides by the sample's deviation
+    return both.select("p_partkey", F.round(vector_to_array("scaled")[0] * (n / (n - 1)) ** 0.5, 6).alias("scaled"), "is_11", "brand")
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 1 offset 7")
+def nth_row(spark, sf):
+    return sets.nth(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 7, c("o_totalprice").desc(), c("o_orderkey"))
+
+
+@query("select c_custkey, c_nationkey, case when c_custkey % 2 = 0 then c_acctbal end as even_balance from customer")
+def aligned_column(spark, sf):
+    t = table(spark, sf, "customer")
+    return joins.aligned(t.select("c_custkey", "c_nationkey"), t.filter("c_custkey % 2 = 0"), "c_custkey", "c_acctbal", "even_balance")
+
+
+@query("""select coalesce(a.p, b.p) as position, a.c_name as a, b.s_name as b from (select row_number() over (order by c_custkey) - 1 as p, c_name from customer) a full join (select row_number() over (order by s_suppkey) - 1 as p, s_name from supplier) b on a.p = b.p""")
+def aligned_positions(spark, sf):
+    frames = {"a": table(spark, sf, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("v")), "b": table(spark, sf, "supplier").select(c("s_suppkey").alias("k"), c("s_name").alias("v"))}
+    return joins.by_position(frames, "k", "v").withColumn("position", c("position").cast("long"))
+
+
+@query("select c_custkey as k, c_acctbal * 2 as twice, 'customer' as origin from customer union all select s_suppkey, s_acctbal * 2, 'supplier' from supplier")
+def frames_in_step(spark, sf):
+    frames = [table(spark, sf, n).select(c(k).alias("k"), c(v).alias("v"), F.lit(n).alias("origin")) for n, k, v in (("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"))]
+    a, b = joins.each(frames, lambda df: df.select("k", (c("v") * 2).alias("twice"), "origin"))
+    return a.union(b)
+
+
+@query("select n_regionkey, cast(count(*) as int) as n, string_agg(n_nationkey || '=' || n_name, ';' order by n_nationkey) as pairs from nation group by 1")
+def pairs_as_map(spark, sf):
+    made = agg.pairs_to_map(table(spark, sf, "nation"), ["n_regionkey"], "n_nationkey", "n_name")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("map")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ";")
+    return made.select("n_regionkey", F.size("map").alias("n"), shown.alias("pairs"))
+
+
+@query("select p_partkey, p_size from part")
+def selected_columns(spark, sf):
+    return reshape.ColumnSelector(["p_partkey", "p_size"]).transform(table(spark, sf, "part"))

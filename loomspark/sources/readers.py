@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
+import shutil
+import struct
 import tarfile
 from pathlib import Path
+from urllib.parse import urlparse
+from urllib.request import urlopen
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# fixed values: number types of the idx format
+IDX = {8: ">u1", 9: ">i1", 11: ">i2", 12: ">i4", 13: ">f4", 14: ">f8"}
+
 # -- csv -----------------------------------------------------------------------
 
 
@@ -94,6 +104,41 @@ def unpack(archive: str, folder: str) -> list[str]:
         return [str(Path(folder, m.name)) for m in tar.getmembers() if m.isfile()]
 
 
+def fetch(url: str, folder: str, name: str | None = None) -> str:
+    """Download a file into a folder, as a task of an operator before any query; an archive is then ``unpack``'s."""
+    target = Path(folder, name or Path(urlparse(url).path).name)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with urlopen(url) as source, target.open("wb") as sink:
+        shutil.copyfileobj(source, sink)
+    return str(target)
+
+
+def idx(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, values): the entries of an idx file (plain or gzipped), each a flat array; read by Spark, a file at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                kind, dims = data[2], data[3]
+                shape = struct.unpack_from(f">{dims}I", data, 4)
+                values = np.frombuffer(data, IDX[kind], int(np.prod(shape)), 4 + 4 * dims).reshape(shape[0], -1)
+                for k in range(0, len(values), 10_000):
+                    part = values[k : k + 10_000].astype(np.float64)
+                    lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1], pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part))), lists], names=["row_id", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_id long, values array<double>")
+
+
+def idx_images(spark: SparkSession, images: str, labels: str, classes: int) -> DataFrame:
+    """(row_id, image, label, one_hot) of a pair of idx files."""
+    from loomspark.functions.vectors import one_hot
+
+    both = idx(spark, images).withColumnRenamed("values", "image").join(idx(spark, labels).select("row_id", F.col("values")[0].cast("int").alias("label")), "row_id")
+    return both.withColumn("one_hot", one_hot(F.col("label"), classes))
+
+
 def labelled_images(df: DataFrame, label: str, classes: int) -> DataFrame:
     """(image, label, one_hot) of a wide table with a label column and a column for each pixel."""
     from loomspark.functions.vectors import one_hot
