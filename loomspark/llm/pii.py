@@ -239,11 +239,12 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataF
     base = cut_lineage(base_table(docs))
     terms = cut_lineage(term_words(base, support, share))
     text = F.coalesce("text", F.lit(""))
-    # only texts with disclosing terms are read again
-    told = docs.select("doc_id", text.alias("text"), F.md5(text).alias("th")).join(terms, F.col("th") == F.col("oh")).dropDuplicates(["th"]).select("th", "text", "terms")
-    placed = told.withColumns(base_spans(F.col("text"))).select("th", F.transform(term_spans(F.col("text"), base_marks(), F.col("terms")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("term"))
-    joined = base.drop("entities", "words").join(placed, F.col("h") == F.col("th"), "left").drop("th")
-    return joined.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")))
+    # only texts with disclosing terms are read again, row by row: nothing after the join groups copies of a text, so a hot one is split
+    told = docs.select("doc_id", text.alias("text"), F.md5(text).alias("h")).join(terms, F.col("h") == F.col("oh")).drop("oh").withColumns(base_spans(F.col("text")))
+    bare = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    with_terms = told.select("doc_id", "h", *[bare(F.col(k)).alias(k) for k in KINDS[:4]], bare(term_spans(F.col("text"), base_marks(), F.col("terms"))).alias("term"))
+    without = base.join(terms, F.col("h") == F.col("oh"), "left_anti").select("doc_id", "h", *KINDS[:4], F.array().cast("array<struct<start:int,end:int>>").alias("term"))
+    return with_terms.union(without)
 
 
 def clean(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
