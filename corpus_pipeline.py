@@ -1,4 +1,16 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, mixing."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, mixing.
+
+Each stage works on all that the one before kept and returns the columns of
+its input, whatever their names; the last one returns the mix.
+
+Defined cases: a null text counts as empty and stays null where its row stays;
+an empty text is clean, and one of all empty texts stays as their
+representative; rows that repeat id and text are one; a null id is never
+learned from and comes last among near-duplicates; a very long text is scored,
+compared, scanned and cleaned as a whole; without labels no document is toxic,
+and without items none is contaminated; of equal documents the smallest id
+stays; an empty table gives an empty mix.
+"""
 
 from __future__ import annotations
 
