@@ -8,8 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.ranks import bucket_of, small, splitters
 from loomspark.sources.readers import remembered
 
+#: Rows of a group from which on its order is made in parts.
+HOT = 20_000_000
 KINDS = ("next_click", "prev_click", "count", "add_counts", "nunique", "var", "mean", "sum", "cumcount")
 
 
@@ -53,10 +56,44 @@ def expression(spec: FeatureSpec, time: str, row_id: str) -> Column:
     return {"var": F.var_samp, "mean": F.avg, "sum": F.sum}[spec.kind](spec.value).over(group)
 
 
+def hot(df: DataFrame, keys: tuple[str, ...]) -> bool:
+    """Whether some group is more than a task should order; a small table is not counted."""
+    if small(df):
+        return False
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    return (most or 0) > HOT
+
+
+def ordered_in_parts(df: DataFrame, base: DataFrame, specs: list[FeatureSpec], keys: tuple[str, ...], time: str, row_id: str) -> DataFrame:
+    """Ordered kinds of groups of any size: windows over parts of time, and what a part's first and last rows need from its neighbours."""
+    seconds = F.unix_timestamp(time)
+    edges = splitters(base.select(seconds.alias("t")), "t")
+    # the planner must not carry the part's formula over to the other side of the join, where there is no time: the added 0 keeps it from that
+    part = bucket_of(seconds, edges) + (F.monotonically_increasing_id() * 0).cast("int")
+    edge = base.withColumn("__part", part).groupBy(*keys, "__part").agg(F.min(seconds).alias("__first"), F.max(seconds).alias("__last"), F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__part")
+    edge = edge.withColumns({"__next": F.lead("__first").over(w), "__previous": F.lag("__last").over(w), "__before": F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    edge = edge.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__of"), "__next", "__previous", "__before")
+    cut = df.withColumn("__part", part)
+    inner = Window.partitionBy(*keys, "__part").orderBy(time, row_id)
+    cut = cut.withColumns({"__up": F.unix_timestamp(F.lead(time).over(inner)), "__down": F.unix_timestamp(F.lag(time).over(inner)), "__row": F.row_number().over(inner)})
+    test = F.col("__part") == F.col("__of")
+    for i, k in enumerate(keys):
+        test = test & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    held = cut.join(edge, test)
+    made = {
+        "next_click": (F.coalesce("__up", "__next") - seconds).cast("double"),
+        "prev_click": (seconds - F.coalesce("__down", "__previous")).cast("double"),
+        "cumcount": (F.col("__before") + F.col("__row") - 1).cast("long"),
+    }
+    return held.select(*df.columns, *[made[s.kind].alias(s.name) for s in specs])
+
+
 def add_features(df: DataFrame, specs: list[FeatureSpec], time: str = "ts", row_id: str = "event_id") -> DataFrame:
     """All features on all rows.
 
-    Ordered kinds of one key set share an exchange and a sort.  Counts,
+    Ordered kinds of one key set share an exchange and a sort; where a group
+    has more than HOT rows, groups are cut by time into parts.  Counts,
     means and variances of hot groups are aggregated before they are dealt
     (map-side) and joined back; Spark splits a hot group's rows in that join.
     """
@@ -69,7 +106,9 @@ def add_features(df: DataFrame, specs: list[FeatureSpec], time: str = "ts", row_
     for keys, group in by_keys.items():
         ordered = [s for s in group if s.kind in ("next_click", "prev_click", "cumcount")]
         rest = [s for s in group if s not in ordered]
-        if ordered:
+        if ordered and hot(base, keys):
+            df = ordered_in_parts(df, base, ordered, keys, time, row_id)
+        elif ordered:
             df = df.withColumns({s.name: expression(FeatureSpec(s.kind, keys, s.value), time, row_id) for s in ordered})
         if rest:
             how = {"count": lambda s: F.count("*"), "add_counts": lambda s: F.count("*"), "nunique": lambda s: F.countDistinct(s.value), "var": lambda s: F.var_samp(s.value), "mean": lambda s: F.avg(s.value), "sum": lambda s: F.sum(s.value)}

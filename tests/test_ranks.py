@@ -61,6 +61,20 @@ def test_gini_positions_in_buckets(rows, monkeypatch):
     assert key(learn.gini_splits(some.withColumn("node", F.col("id") % 2), "v", "y", "id", "node")) == by
 
 
+def test_hot_groups_are_ordered_in_parts(spark, small, monkeypatch):
+    from loomspark.operators import features
+    from loomspark.operators.features import FeatureSpec
+
+    e = spark.read.parquet(f"{small}/events.parquet").withColumn("user_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 2))  # a null and two hot groups
+    specs = [FeatureSpec(k, keys) for k in ("next_click", "prev_click", "cumcount") for keys in (("user_id",), ("user_id", "event_type"))]
+    columns = ["event_id", *[s.name for s in specs]]
+    plain = sorted(features.add_features(e, specs).select(columns).collect())
+    monkeypatch.setattr(features, "HOT", 1)
+    for name, value in (("SMALL", -1), ("BUCKETS", 9), ("SAMPLED", 4)):
+        monkeypatch.setattr(ranks, name, value)
+    assert sorted(features.add_features(e, specs).select(columns).collect()) == plain
+
+
 def test_empty_tables(rows, cut):
     none = rows.limit(0)
     assert ranks.ranked_values(none, "v").count() == 0 and aggregates.value_ranks(none, "v", "r").count() == 0
