@@ -8,7 +8,10 @@ threshold join into spans, unless an allow-listed pattern covers them; windows
 that overlap a known string are left out before they join.
 
 Defined cases: null text counts as empty and has no secrets; a null id stays
-null; repeated rows give repeated results; other columns are ignored.
+null; repeated rows give repeated results; spans of equal starts lie in the
+order of their kinds; a window exactly at a threshold is hot; a very long text
+is scanned as a whole, in time that grows with it; an empty table gives no
+rows; other columns are ignored.
 Offsets are code points, the end exclusive.
 """
 

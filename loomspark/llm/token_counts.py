@@ -7,8 +7,10 @@ compacts the array; sequences without a mergeable pair leave with their count.
 
 Defined cases: null text counts as empty; empty text has 0 tokens; a special
 string inside a text is one token, as the vocabulary's library treats it by
-default; a null id stays null; repeated rows give repeated results; other
-columns of the input are ignored.
+default; a null id stays null; repeated rows give repeated results; where a
+pair overlaps itself the leftmost is merged first; a very long text, also one
+of a single pre-token, is counted as a whole; an empty table gives no rows;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
