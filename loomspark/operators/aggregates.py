@@ -23,7 +23,8 @@ def all_numeric(df: DataFrame, keys: list[str], how=F.avg) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share)"""
     counts = by(df, [column], n=F.count("*"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = counts.agg(F.sum("n").alias("__total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total")  # one row
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
