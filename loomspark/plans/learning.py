@@ -155,11 +155,14 @@ def library_linear(spark, sf):
     return estimators.linear(["l_quantity", "l_discount"], "l_extendedprice").fit(li).transform(li).select("l_orderkey", F.round("prediction", 2).alias("prediction"))
 
 
-@query()
+@query("select cast(label < 5 as int) as y, count(*) as n, true as better from embeddings group by 1")
 def library_boosting(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", (c("label") < 5).cast("int").alias("y"), *[c("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)])
-    m = estimators.boosted([f"x{i}" for i in range(6)], "y", rounds=3, bins=32).fit(e)
-    return m.transform(e).select("vec_id", "prediction")
+    """Whether boosted trees are right more often than the larger class is large."""
+    e = table(spark, sf, "embeddings").select("vec_id", (c("label") < 5).cast("int").alias("y"), *[c("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    right = share_right(estimators.boosted([f"x{i}" for i in range(64)], "y", rounds=5, depth=3, bins=32).fit(e).transform(e))
+    sizes = e.groupBy("y").agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.max("n").alias("m"), F.sum("n").alias("t"))
+    return sizes.crossJoin(F.broadcast(whole)).select("y", "n", (F.lit(right) > c("m") / c("t")).alias("better"))
 
 
 @query("select avg(case when y = 1995 then m end) as first, round(regr_slope(log2(m), y), 6) as doublings from (select cast(year(o_orderdate) as double) y, median(o_totalprice) m from orders group by 1)")
