@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tarfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def geojson_scan(spark, sf):
 @query("select n_nationkey, n_name from nation")
 def fetched_archive(spark, sf):
     """A table as CSV in an archive that is fetched by its address, unpacked and scanned; the folder is one that this machine sees."""
-    folder = Path(shared_folder(spark).removeprefix("file://"))
+    folder = Path(urlparse(shared_folder(spark)).path)
     folder.mkdir(parents=True)
     rows = table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # the smallest table
     Path(folder, "nation.csv").write_text("n_nationkey,n_name\n" + "".join(f"{r.n_nationkey},{r.n_name}\n" for r in rows))
