@@ -167,7 +167,12 @@ def base_table(docs: DataFrame) -> DataFrame:
     entities = F.array_distinct(F.concat(*[entities_of(k) for k in KINDS[:4]]))
     words = F.array_distinct(F.regexp_extract_all(blanked(F.col("text"), base_marks()), F.lit(TERM), F.lit(0)))
     bare = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS[:4]]
-    return spans.select("doc_id", F.md5("text").alias("h"), *bare, entities.alias("entities"), F.array_join(words, " ").alias("words"))
+    return spans.select("doc_id", identity(F.col("text")).alias("h"), *bare, entities.alias("entities"), F.array_join(words, " ").alias("words"))
+
+
+def identity(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text))
 
 
 def entities_of(kind: str) -> Column:
@@ -187,7 +192,7 @@ def disclosing_terms(base: DataFrame, n_docs: int, support: int = SUPPORT, share
     """
     terms = F.array_distinct(F.transform(words_of(), term_of))
     counts = base.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support)
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("h")).alias("key")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.hex("h")).alias("key")
     holding = base.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "h"]).select(key, "entities", "words")
     mentions = holding.select("key", F.explode("entities").alias("entity"))
     known = mentions.groupBy("entity").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support)
@@ -225,7 +230,7 @@ def term_words(base: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     good = cut_lineage(disclosing_terms(base, base.count(), support, share))
     passes = sieve(good)
     maybe = base.select(F.col("h").alias("oh"), F.explode(F.filter(words_of(), lambda w: passes(term_of(w)))).alias("word"))
-    return maybe.withColumn("term", term_of(F.col("word"))).join(good, "term", "left_semi").groupBy("oh").agg(F.collect_set("word").alias("terms"))
+    return maybe.join(good, term_of(F.col("word")) == F.col("term"), "left_semi").groupBy("oh").agg(F.collect_set("word").alias("terms"))
 
 
 def term_spans(text: Column, marks: Column, terms: Column) -> Column:
@@ -240,7 +245,7 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataF
     terms = cut_lineage(term_words(base, support, share))
     text = F.coalesce("text", F.lit(""))
     # only texts with disclosing terms are read again, row by row: nothing after the join groups copies of a text, so a hot one is split
-    told = docs.select("doc_id", text.alias("text"), F.md5(text).alias("h")).join(terms, F.col("h") == F.col("oh")).drop("oh").withColumns(base_spans(F.col("text")))
+    told = docs.select("doc_id", text.alias("text"), identity(text).alias("h")).join(terms, F.col("h") == F.col("oh")).drop("oh").withColumns(base_spans(F.col("text")))
     bare = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     with_terms = told.select("doc_id", "h", *[bare(F.col(k)).alias(k) for k in KINDS[:4]], bare(term_spans(F.col("text"), base_marks(), F.col("terms"))).alias("term"))
     without = base.join(terms, F.col("h") == F.col("oh"), "left_anti").select("doc_id", "h", *KINDS[:4], F.array().cast("array<struct<start:int,end:int>>").alias("term"))
@@ -255,7 +260,7 @@ def clean(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> Data
     own, marks, terms = fresh(docs, "h_", "marks_", "terms_")
     held = held.filter(some).dropDuplicates(["h"]).select(F.col("h").alias(own), base_marks(put=True).alias(marks), F.col("terms").alias(terms))
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(held, F.md5(text) == F.col(own), "left")
+    joined = docs.join(held, identity(text) == F.col(own), "left")
     general = lambda word: F.when(word.rlike(LIKE_A_NAME), PUT["name"]).otherwise(PUT["term"])
     named = F.transform(term_spans(text, F.col(marks), F.col(terms)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), general(x["value"]).alias("put")))
     every = F.when(F.col(terms).isNull(), F.col(marks)).otherwise(F.array_sort(F.concat(marks, named)))
