@@ -50,7 +50,7 @@ SPAN = SIZE - GRAM + 1  # strings that hold a gram; also the grams of a string
 SIDE = SIZE - GRAM  # context bytes on either side of a gram
 CONTEXT = SIZE + SIDE
 #: Contexts of a part of an anchor.
-MANY = 2_000
+MANY = 20_000
 #: Bytes of contexts that are sorted at once; a task holds about 60 times as much.
 BLOCK = 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
