@@ -49,7 +49,7 @@ LIKE_A_NAME = r"^[\p{Lu}\p{Lt}\p{Lo}]"
 #: Documents that a term must share with an entity, and the share of the entity's information that it must give.
 SUPPORT, SHARE = 2, 0.8
 #: Bytes, of seven bits each, of the filter that tells most words that are no disclosing terms before they are shuffled.
-SIEVE = 1 << 16
+SIEVE = 1 << 18
 PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "name": "[NAME]", "term": "[TERM]"}
 #: Characters of the pieces that a text is cut into to be rebuilt: places in a string are counted from its start.
 PIECE = 4096
@@ -214,8 +214,10 @@ def sieve(good: DataFrame):
     """A test of terms that all of ``good`` pass and few others; its bits, of a fixed size, go with the plan."""
     bits = bytearray(SIEVE)
     place = lambda term: F.pmod(F.xxhash64(term), F.lit(7 * SIEVE)).cast("int")
-    for r in good.select(place(F.col("term")).alias("at")).distinct().collect():  # 7 * SIEVE rows at most
-        bits[r.at // 7] |= 1 << r.at % 7
+    at = place(F.col("term"))
+    bit = F.call_function("shiftleft", F.lit(1), (at % 7).cast("int"))
+    for r in good.groupBy((at / 7).cast("int").alias("byte")).agg(F.bit_or(bit).alias("bits")).collect():  # SIEVE rows at most
+        bits[r.byte] = r.bits
     held = F.lit(bytes(bits))
 
     def passes(term: Column) -> Column:
