@@ -32,6 +32,11 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
     return out
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Halves away from zero, of the scaled double as it is; ``F.round`` takes the shortest decimal of the unscaled one, which differs where that is a half."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def exponential(x: Column, a: float, b: float, c: float) -> Column:
     """a * 2 ** ((x - c) * b)"""
     return a * F.pow(F.lit(2.0), (x - c) * b)

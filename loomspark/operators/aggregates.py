@@ -130,10 +130,14 @@ def average_rank(value: Column, keys: list[Column] = ()) -> Column:
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0).cast("double")
 
 
+def rank_table(df: DataFrame, column: str, out: str, rows: int | None = None) -> DataFrame:
+    """(column, out): each distinct value and its average rank; ``rows``: how many ``df`` has, where that is known."""
+    return ranked_values(df, column, rows=rows).select(column, (F.col("before") + (F.col("n") + 1) / F.lit(2.0).cast("double")).alias(out))
+
+
 def value_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average ranks over a whole table: counts of distinct values are ranked instead of rows, and joined back."""
-    ranked = ranked_values(df, column).select(column, (F.col("before") + (F.col("n") + 1) / F.lit(2.0).cast("double")).alias(out))
-    return df.join(ranked, column)
+    return df.join(rank_table(df, column, out), column)
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.maths import logit
+from loomspark.functions.maths import logit, rounded
 from loomspark.functions.vectors import nearest
 from loomspark.operators.columns import uniform
 from loomspark.operators.ranks import bucket_of, running_before, splitters
@@ -352,23 +353,30 @@ def doubling(median0: float, x0: float, x: Column) -> Column:
 BLEND, LOGIT_SHARE = (0.7, 0.2, 0.1), 0.8
 
 
-def blend(frames: list[DataFrame], key: str = "click_id", score: str = "is_attributed", weights: tuple[float, ...] = BLEND, logit_share: float = LOGIT_SHARE) -> DataFrame:
-    """(key, score): weighted logits scaled by their deviation, against weighted average ranks; files meet by key."""
-    from loomspark.operators.aggregates import value_ranks
-
-    out = None
-    for i, f in enumerate(frames):
-        ranked = value_ranks(f.select(key, F.col(score).alias("s")), "s", "r").select(key, logit(F.col("s")).alias(f"l{i}"), F.col("r").alias(f"r{i}"))
-        out = ranked if out is None else out.join(ranked, key)
-    one = out.agg(F.count("*").alias("__n"), *[F.stddev(f"l{i}").alias(f"__d{i}") for i in range(len(frames))])
-    held = out.crossJoin(F.broadcast(one))  # one row
-    ranks, logits = F.lit(0.0), F.lit(0.0)
-    for i, w in enumerate(weights):
-        ranks = ranks + w * F.col(f"r{i}") / F.col("__n")
-        logits = logits + w * F.coalesce(F.try_divide(F.col(f"l{i}"), F.col(f"__d{i}")), F.lit(0.0))
-    scored = held.select(key, ranks.alias("rank"), logits.alias("logit"))
-    again = value_ranks(scored, "logit", "lr").crossJoin(F.broadcast(scored.agg(F.count("*").alias("__m"))))
-    return again.select(key, (logit_share * F.col("lr") / F.col("__m") + (1 - logit_share) * F.col("rank")).alias(score))
+def blend(frames: list[DataFrame], key: str = "click_id", score: str = "is_attributed", weights: tuple[float, ...] = BLEND, logit_share: float = LOGIT_SHARE, digits: int | None = None) -> DataFrame:
+    """(key, score): weighted logits scaled by their deviation, against weighted average ranks; files meet by key.  ``digits``: decimals to which logits are ranked.
+
+    Number and deviations are read once and stand in the plan: summed again in
+    another order, they would part a row's logit from its rank.
+    """
+    from loomspark.operators.aggregates import rank_table
+
+    files = [f.filter(F.col(score).isNotNull()).select(key, F.col(score).alias(f"s{i}")) for i, f in enumerate(frames)]
+    held = files[0]
+    for f in files[1:]:
+        held = held.join(f, key)
+    each = [logit(F.col(f"s{i}")) for i in range(len(files))]
+    n, *deviations = held.agg(F.count("*"), *[F.stddev(c).alias(f"d{i}") for i, c in enumerate(each)]).first()
+    logits, ranks = F.lit(0.0), F.lit(0.0)
+    for i, (w, d) in enumerate(zip(weights, deviations)):
+        logits = logits + w * each[i] / d if d else logits
+        ranks = ranks + w * F.col(f"r{i}")
+    scored = held.withColumn("logit", logits if digits is None else rounded(logits, digits))
+    scored = scored.join(rank_table(scored, "logit", "lr", n), "logit")
+    for i, f in enumerate(files):
+        scored = scored.join(rank_table(f, f"s{i}", f"r{i}"), f"s{i}")
+    rank_share = float(1 - Decimal(str(logit_share)))  # 1 - 0.8 is 0.2 here
+    return scored.select(key, (logit_share * F.col("lr") / float(n) + rank_share * (ranks / float(n))).alias(score))
 
 
 def forward_selection(candidates: list, evaluate, start: float) -> tuple[list, float, list[tuple]]:

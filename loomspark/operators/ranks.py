@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 SMALL, BUCKETS, SAMPLED = 64 << 20, 256, 16
 
 
-def small(df: DataFrame) -> bool:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+def small(df: DataFrame, rows: int | None = None) -> bool:
+    """``rows``: how many there are, where that is known; the planner multiplies the sizes of joined tables."""
+    return (int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if rows is None else 24 * rows) <= SMALL
 
 
-def splitters(df: DataFrame, column: str) -> list:
+def splitters(df: DataFrame, column: str, rows: int | None = None) -> list:
     """Values that cut the distinct values of a column into about equal parts: every so many of those with the least hashes."""
-    if small(df):
+    if small(df, rows):
         return []
     some = df.select(F.col(column).alias("v")).filter("v is not null").distinct().orderBy(F.xxhash64("v"), "v").limit(BUCKETS * SAMPLED).collect()
     values = sorted(r.v for r in some)
@@ -49,10 +50,10 @@ def running_before(df: DataFrame, sums: dict[str, str], order: list[str], edges:
     return placed.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums}).drop("__bucket", *[f"__o_{n}" for n in sums])
 
 
-def ranked_values(df: DataFrame, column: str, keys: list[str] = (), **also: Column) -> DataFrame:
-    """(keys, column, n, before): each distinct value, its rows, and the rows of smaller values.  ``also``: further aggregates of a value's rows."""
+def ranked_values(df: DataFrame, column: str, keys: list[str] = (), rows: int | None = None, **also: Column) -> DataFrame:
+    """(keys, column, n, before): each distinct value, its rows, and the rows of smaller values.  ``rows``: as in ``small``.  ``also``: further aggregates of a value's rows."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in also.items()])
-    return running_before(counts, {"before": "n"}, [column], splitters(df, column), keys)
+    return running_before(counts, {"before": "n"}, [column], splitters(df, column, rows), keys)
 
 
 def quantiles(df: DataFrame, column: str, at: list[float], keys: list[str] = ()) -> DataFrame:

@@ -3,11 +3,12 @@
 import gzip
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import images
+from loomspark.functions import images, maths
 from loomspark.operators import aggregates, columns, estimators, joins, learn, ranks, reshape, sampling
 from loomspark.plans import catalogue
 from loomspark.sources import readers
@@ -50,6 +51,28 @@ def test_quantiles_and_ranks_in_buckets(rows, cut):
     assert {(r.g, r.code) for r in codes} == {("a", 0), ("b", 1), ("c", 2), (None, None)} and len(codes) == 400
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_blend_is_its_sql_to_the_last_digit(spark, tmp_path, monkeypatch, parts):
+    """Of 320 rows, scores of many are halves of the sixth decimal; some logits tie in nine decimals only, one value is null."""
+    rng = np.random.default_rng(6)
+    values = [None, *[float(v) for v in rng.integers(0, 9000, 269) / 100]]
+    data = [(i, v) for i, v in enumerate(values)] + [(i + 97 * 30, values[i] + 1e-10) for i in range(1, 51)]
+    spark.createDataFrame(data, "event_id long, value double").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    if parts:
+        for name, value in (("SMALL", -1), ("BUCKETS", 7), ("SAMPLED", 3)):
+            monkeypatch.setattr(ranks, name, value)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.sql(catalogue.oracle_sql()["rank_logit_blend"]).fetchall())
+    got = {r.event_id: r.score for r in catalogue.queries()["rank_logit_blend"](spark, str(tmp_path)).collect()}
+    assert len(want) == 320 and got == want
+
+
+def test_halves_are_rounded_as_scaled_doubles(spark):
+    got = spark.range(1).select(maths.rounded(F.lit(2.4999999999999998e-06), 6).alias("x"), maths.rounded(F.lit(-2.5), 0).alias("y"), maths.rounded(F.lit(None).cast("double"), 6).alias("z")).first()
+    assert tuple(got) == (duckdb.sql("select round(2.4999999999999998e-06::double, 6)").fetchall()[0][0], -3.0, None) == (3e-06, -3.0, None)
+
+
 def test_gini_positions_in_buckets(rows, monkeypatch):
     some = rows.dropna(subset=["v"])
     key = lambda df: sorted((r.nl, r.pl, r.n, r.p, round(r.gini, 12), r.threshold) for r in df.collect())
