@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -58,6 +60,30 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, as far as its allocators can give it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run: Callable, end: Callable | None = None) -> Callable:
+    """``run`` over the batches of a task, then ``end``; last, free memory goes back.
+
+    Workers stay beside the steps that follow, and their allocators would hold
+    the memory of their largest task.
+    """
+
+    def of(batches):
+        yield from run(batches)
+        if end:
+            end()
+        give_back()
+
+    return of
+
+
 def map_text(df: DataFrame, function: Callable, schema: str, *columns: str, most: int = 4 << 20) -> DataFrame:
     """Run ``function(list per column ...) -> dict of lists`` over bounded pieces of ``columns``; the last one is the text."""
 
@@ -66,7 +92,7 @@ def map_text(df: DataFrame, function: Callable, schema: str, *columns: str, most
             yield pa.RecordBatch.from_pydict(function(*(piece.column(i).to_pylist() for i in range(len(columns)))), schema=arrow)
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(giving_back(run), schema)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -82,15 +108,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def keep_rows(docs: DataFrame, test: Callable[[list], list[bool]], most: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose texts pass ``test``; one map stage."""
+def keep_rows(docs: DataFrame, test: Callable[[list], list[bool]], most: int = 4 << 20, end: Callable | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose texts pass ``test``; one map stage.  ``end`` is called after a task's last row."""
 
     def run(batches):
         for piece in pieces(batches, "text", most):
             texts = piece.column(piece.schema.get_field_index("text")).to_pylist()
             yield piece.filter(pa.array(test(texts), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run, end), docs.schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomspark.llm.common import cut_lineage, fresh, map_text, runs
+from loomspark.llm.common import cut_lineage, fresh, giving_back, map_text, runs
 
 #: A chunk has about this many times the square root of all distinct fingerprints: 70,000 rows of 33 million, 16 MB of 30 billion.
 CHUNK = 12
@@ -425,7 +425,7 @@ def by_pair(pairs: DataFrame, words: int, compare: Callable, schema: str) -> Dat
         if waiting:
             yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
-    return pairs.select(*columns).repartition(*PAIR).sortWithinPartitions(*PAIR, "side").mapInArrow(run, schema)
+    return pairs.select(*columns).repartition(*PAIR).sortWithinPartitions(*PAIR, "side").mapInArrow(giving_back(run), schema)
 
 
 def forest_of(found: list[tuple[int, int]], table: pa.Table) -> dict:

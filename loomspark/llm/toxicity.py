@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomspark.llm.common import cut_lineage, keep_rows, map_text, pieces
+from loomspark.llm.common import cut_lineage, giving_back, keep_rows, map_text, pieces
 
 SCHEMA = "doc_id long, score double"
 #: Most labelled documents that the lexicon is learned from.
@@ -100,7 +100,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for k in range(0, len(seen), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + 50_000], pa.int32()), pa.array(total[seen[k : k + 50_000]], pa.int64())], schema=arrow)
 
-    return docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(giving_back(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -254,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, model) -> dict[str, float]:
             some = names[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([a[x] for x in some], pa.int64()), pa.array([b[x] for x in some], pa.int64())], schema=arrow)
 
-    totals = read.mapInArrow(count, counted).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    totals = read.mapInArrow(giving_back(count), counted).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     good = totals.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b")))).collect()  # bounded by the sample
     weight = {r.feature: (r.a, r.b) for r in good}
     if not weight:
@@ -267,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, model) -> dict[str, float]:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("found", pa.list_(pa.string()))]))
 
-    sets = [set(r.found) for r in read.mapInArrow(cover, "found array<string>").collect()]  # at most SAMPLE rows
+    sets = [set(r.found) for r in read.mapInArrow(giving_back(cover), "found array<string>").collect()]  # at most SAMPLE rows
     return greedy_cover(sets, weight)
 
 
@@ -321,7 +321,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
         reader = state.setdefault("reader", Reader(model.value, lexicon))
         return [chance(reader.read(t or ""), lexicon) < limit for t in texts]
 
-    return keep_rows(docs, test)
+    return keep_rows(docs, test, end=state.clear)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
